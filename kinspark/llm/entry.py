@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinspark.llm.consolidate import tied_groups
 from kinspark.llm.survivor import company_survivors
+from kinspark.llm.tokens import decode_corpus, encode_corpus
 from kinspark.session import materialize, read_table
 
 
@@ -27,3 +29,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
 }
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids of every document."""
+    return encode_corpus(read_table(spark, sf_dir, "documents"))
+
+
+def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, restored: whether decoding its ids gives the document's text again."""
+    docs = read_table(spark, sf_dir, "documents")
+    decoded = decode_corpus(encode_corpus(docs)).withColumnRenamed("text", "decoded")
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", "text").join(decoded, "doc_id").select("doc_id", same.alias("restored"))
+
+
+QUERIES |= {"p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip}
