@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspark.llm.consolidate import tied_groups
+from kinspark.llm.packing import fill_containers
 from kinspark.llm.survivor import company_survivors
-from kinspark.llm.tokens import decode_corpus, encode_corpus
+from kinspark.llm.tokens import count_tokens, decode_corpus, encode_corpus
 from kinspark.session import materialize, read_table
 
 
@@ -45,3 +46,14 @@ def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip}
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_name, doc_id, piece, tokens, container of every document under every pack."""
+    limits = read_table(spark, sf_dir, "pack_limits").select("pack_name", "capacity").orderBy("pack_name")
+    packs = [(r["pack_name"], r["capacity"]) for r in limits.collect()]  # one row a pack
+    counted = count_tokens(read_table(spark, sf_dir, "documents"))
+    return fill_containers(counted, packs, "doc_id", "tokens").withColumnRenamed("size", "tokens")
+
+
+QUERIES |= {"p8_containers": p8_containers}
