@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinspark.llm.consolidate import tied_groups
 from kinspark.llm.packing import fill_containers
+from kinspark.llm.quality import documents_by_type
 from kinspark.llm.survivor import company_survivors
 from kinspark.llm.tokens import count_tokens, decode_corpus, encode_corpus
 from kinspark.session import materialize, read_table
@@ -57,3 +58,23 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p8_containers": p8_containers}
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = [r["word"] for r in read_table(spark, sf_dir, "common_words").select("word").collect()]  # a fixed list
+    return documents_by_type(read_table(spark, sf_dir, "documents"), words)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id of every document whose text is a list, a table or junk."""
+    typed = _typed(spark, sf_dir).filter((F.col("chars") > 0) & (F.col("p_prose") < 0.5))
+    return typed.select(F.col("doc").alias("doc_id"))
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of text quality and the text type of every document."""
+    shown = ["words", "mean_word", "symbol_share", "ended_lines", "common_share", "distinct_share", "text_type"]
+    return _typed(spark, sf_dir).select(F.col("doc").alias("doc_id"), *shown)
+
+
+QUERIES |= {"p9_found": p9_found, "p9_statistics": p9_statistics}
