@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspark.llm.consolidate import tied_groups
+from kinspark.llm.lookalike import consistent_forms
 from kinspark.llm.packing import fill_containers
 from kinspark.llm.quality import documents_by_type
 from kinspark.llm.survivor import company_survivors
@@ -78,3 +79,16 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p9_found": p9_found, "p9_statistics": p9_statistics}
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_id, field of every name and address that its consistent form changes."""
+    return consistent_forms(read_table(spark, sf_dir, "companies_filtered"), "rec_id", ["name", "address"]).select("rec_id", "field")
+
+
+def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_id, field, value, form of every changed name and address."""
+    return consistent_forms(read_table(spark, sf_dir, "companies_filtered"), "rec_id", ["name", "address"])
+
+
+QUERIES |= {"p6_found": p6_found, "p6_forms": p6_forms}

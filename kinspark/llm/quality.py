@@ -177,7 +177,7 @@ def labellers() -> list[Labeller]:
     odd = (c("words") == 0) | garbled | repeated | (c("markup_share") >= 0.3) | (c("longest_share") >= 0.3)
     return [
         Labeller("clauses", prose, clean & (c("clause_share") >= 0.012) & (c("body_common_kinds") >= 3), garbled | enough & (c("clause_share") < 0.004)),
-        Labeller("common words", prose, clean & (c("body_common") >= 0.25) & (c("body_common_kinds") >= 5), (c("body_common") < 0.07) | enough & (c("body_common_kinds") < 3)),
+        Labeller("common words", prose, clean & (c("labelled_lines") < 0.6) & (c("body_common") >= 0.25) & (c("body_common_kinds") >= 5), (c("body_common") < 0.07) | enough & (c("body_common_kinds") < 3)),
         Labeller("sentences", prose, c("words_a_sentence").between(7, 60) & few_lines & (c("body_common_kinds") >= 3), (c("words_a_sentence") < 6) | (c("words_a_sentence") > 120)),
         Labeller("lines", prose, few_lines & (c("words_a_line") >= 11) & (c("ended_lines") > 0.2), (c("words_a_line") < 6) & (c("lines") > 3)),
         Labeller("delimiters", table, (c("delimited_lines") >= 0.6) & (c("lines") > 2), (c("delimited_lines") < 0.1) & (c("lines") > 2)),
