@@ -13,6 +13,7 @@ from kinspark.llm.packing import fill_containers
 from kinspark.llm.quality import documents_by_type
 from kinspark.llm.survivor import company_survivors
 from kinspark.llm.tokens import count_tokens, decode_corpus, encode_corpus
+from kinspark.llm.variants import variant_pairs
 from kinspark.session import materialize, read_table
 
 
@@ -92,3 +93,11 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found, "p6_forms": p6_forms}
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_id_a, rec_id_b: records of one company under different names."""
+    return variant_pairs(read_table(spark, sf_dir, "companies_filtered"), read_table(spark, sf_dir, "country_aliases"))
+
+
+QUERIES |= {"p5_found": p5_found}
