@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinspark.llm.addresses import same_places
 from kinspark.llm.consolidate import tied_groups
 from kinspark.llm.lookalike import consistent_forms
+from kinspark.llm.match import match_sources
 from kinspark.llm.packing import fill_containers
 from kinspark.llm.quality import documents_by_type
 from kinspark.llm.survivor import company_survivors
@@ -101,3 +103,24 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p5_found": p5_found}
+
+
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_id_a, rec_id_b, confidence: records of one company in two sources."""
+    return match_sources(read_table(spark, sf_dir, "companies_filtered"), read_table(spark, sf_dir, "country_aliases"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_id_a, rec_id_b: records of one company in two sources without a common identifier."""
+    return p3_matches(spark, sf_dir).select("rec_id_a", "rec_id_b")
+
+
+QUERIES |= {"p3_found": p3_found, "p3_matches": p3_matches}
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_id_a, rec_id_b: records at one street and house number, written differently."""
+    return same_places(read_table(spark, sf_dir, "companies_filtered"))
+
+
+QUERIES |= {"p4_found": p4_found}

@@ -11,7 +11,7 @@ the least distance; a link stands if one word agrees and the other is a slip or
 abbreviation of it, or, where the words of trade agree, up to three edits away from
 it, or if both are slips and the words of trade agree. Forms of other than two words
 (a blank lost or added) meet two-word forms by all their cuts, and those of three
-words are entered under both ways to join two of them.
+words are entered under both ways to join two of them and both to drop an outer one.
 Spellings of one record belong together. Linked forms make companies by Boruvka
 consolidation.
 
@@ -69,12 +69,13 @@ def aligned(xa: Column, ya: Column, xb: Column, yb: Column, same_trade: Column)
 def pairs_of_words(spelled: DataFrame) -> DataFrame:
     """(form, country, num, x, y, trade): the distinct forms as two words, x + y in order.
 
-    Forms of two words once; forms of three words by both ways to join neighbours.
+    Forms of two words once; forms of three words by both ways to join neighbours, and
+    without their first or last word, which may be a mistyped word of trade.
     """
     some = spelled.filter("size(core) IN (2, 3) AND kind < 2").groupBy("form").agg(F.max(F.struct("core", "country", "num", "trade")).alias("w")).select("form", "w.*")
     w = [F.get("core", F.lit(i)) for i in range(3)]
     ways = F.when(F.size("core") == 2, F.array(F.struct(w[0].alias("p"), w[1].alias("q")))).otherwise(
-        F.array(F.struct(F.concat(w[0], w[1]).alias("p"), w[2].alias("q")), F.struct(w[0].alias("p"), F.concat(w[1], w[2]).alias("q")))
+        F.array(*[F.struct(p.alias("p"), q.alias("q")) for p, q in ((F.concat(w[0], w[1]), w[2]), (w[0], F.concat(w[1], w[2])), (w[0], w[1]), (w[1], w[2]))])
     )
     each = some.select("form", "country", "num", "trade", (F.size("core") == 2).alias("plain"), F.inline(ways))
     straight = F.concat("p", "q") <= F.concat("q", "p")
