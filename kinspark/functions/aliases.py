@@ -28,7 +28,7 @@ def parse_aliases(c: Column) -> Column:
         lambda x: F.regexp_replace(F.substring(x, 2, F.length(x) - 2), r"\\(.)", "$1"),
     )
     parts = F.when(text.startswith("["), listed).otherwise(F.split(text, r"[|;]"))
-    cleaned = F.filter(F.transform(parts, F.trim), lambda x: ~F.lower(x).isin(*FILLERS))
+    cleaned = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: ~F.lower(x).isin(*FILLERS))
     return F.when(is_filler(c), F.array().cast("array<string>")).otherwise(cleaned)
 
 
