@@ -33,13 +33,6 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     ).cast(SPAN)
 
 
-def keep_longest(ordered: Column, element: str) -> Column:
-    """Of spans in order of preference, those that no earlier kept span of the same length or longer overlaps."""
-    empty = F.array().cast(f"array<{element}>")
-    clash = lambda a, x: (x["start"] < a["stop"]) & (x["stop"] > a["start"]) & (a["stop"] - a["start"] >= x["stop"] - x["start"])
-    return F.aggregate(ordered, empty, lambda acc, x: F.when(F.exists(acc, lambda a: clash(a, x)), acc).otherwise(F.array_append(acc, x)))
-
-
 def keep_first(ordered: Column, element: str) -> Column:
     """Of spans in order, those of which neither end lies in a span kept before."""
     empty = F.array().cast(f"array<{element}>")

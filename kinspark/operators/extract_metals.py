@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.functions.spans import keep_longest, spans
-
 #: Element symbols by family.
 SYMBOLS = {
     "precious": "Au Ag", "pgm": "Pt Pd Rh Ru Ir Os", "base": "Cu Zn Pb Al Ni Sn Fe", "battery": "Li Co Mn C",
@@ -56,48 +60,77 @@ LADDER = (
 SYMBOL = "(?:" + "|".join(sorted(FAMILY, key=lambda s: (-len(s), s))) + ")"
 NAME = "(?:" + "|".join(sorted(NAME_OF, key=lambda s: (-len(s), s))) + ")"
 PERCENT = r"\d+(?:\.\d+)?%"
-MENTION = "struct<start:int,stop:int,query:string,hint:string,category:string>"
-
+FLAGS = re.IGNORECASE
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), key)
 
+@dataclass(frozen=True)
+class Rule:
+    """A pattern with the hint of its mentions; query and category are fixed or told from the matched text."""
 
-def _found(found: Column, hint: str, query: Column | None = None, category: Column | None = None) -> Column:
-    """Spans as mentions; query and category may look at ``x``, the text of the span."""
-    q = query if callable(query) else lambda x: F.lower(x) if query is None else query
-    c = category if callable(category) else lambda _: F.lit(None).cast("string") if category is None else category
-    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), q(s["text"]).alias("query"), F.lit(hint).alias("hint"), c(s["text"]).alias("category"))).cast(f"array<{MENTION}>")
+    pattern: re.Pattern
+    hint: str
+    query: Callable[[re.Match], str]
+    category: Callable[[re.Match], str | None]
+    group: int = 0
 
 
-def metal_mentions(text: Column) -> Column:
-    """All mentions in order of their place; of overlapping ones the rule that comes first, unless a longer one follows."""
-    listed = lambda rules, hint: [_found(spans(text, "(?i)" + p), hint, F.lit(q), F.lit(c).cast("string")) for p, q, c in rules]
-    names = {n: q for n, (q, _) in NAME_OF.items()}
-    families = {n: f for n, (_, f) in NAME_OF.items()}
-    named = _found(spans(text, rf"(?i)\b{NAME}\b"), "name", lambda x: _lookup(names, F.lower(x)), lambda x: _lookup(families, F.lower(x)))
-    combined = _found(spans(text, rf"\b{SYMBOL}(?:[/\-]{SYMBOL})+\b"), "symbol_combination")
-    places = [
+@lru_cache(maxsize=1)
+def rules() -> tuple[tuple[re.Pattern, tuple[Rule, ...]], ...]:
+    """(gate, rules) in order of preference; a text without a match of the gate has none of its rules."""
+    listed = lambda table, hint: tuple(Rule(re.compile(p, FLAGS), hint, lambda m, q=q: q, lambda m, c=c: c) for p, q, c in table)
+    gate = lambda table: re.compile("|".join(p for p, _, _ in table), FLAGS)
+    lower = lambda m: m[0].lower()
+    named = Rule(re.compile(rf"\b{NAME}\b", FLAGS), "name", lambda m: NAME_OF[m[0].lower()][0], lambda m: NAME_OF[m[0].lower()][1])
+    combined = Rule(re.compile(rf"\b{SYMBOL}(?:[/\-]{SYMBOL})+\b"), "symbol_combination", lower, lambda m: None)
+    places = (
         rf"\(({SYMBOL})\)", rf"[:=]\s*({SYMBOL})\b", rf"{PERCENT}\s*({SYMBOL})\b", rf"\b(?:of|for|with|containing)\s+({SYMBOL})\b",
         rf"(?:^|[,\s])({SYMBOL})(?=,|\s+(?:and|or)\s+{SYMBOL})", rf"\b({SYMBOL})(?=[.\s,;:!?\)]|$)",
-    ]
-    symbols = [_found(spans(text, p, 1), "symbol", None, lambda x: _lookup(FAMILY, x)) for p in places]
-    pure = _found(spans(text, rf"(?i){PERCENT}\s+({NAME}|{SYMBOL})"), "purity_spec", lambda x: F.lower(F.regexp_replace(x, rf"^{PERCENT}\s+", "")))
-    every = F.concat(*listed(FORMS, "chemical_form"), *listed(TRADE, "trade_spec"), named, combined, *symbols, pure)
-    kept = F.array_distinct(keep_longest(every, MENTION))
-    placed = F.transform(kept, lambda x, i: F.struct(x["start"].alias("s"), i.alias("i"), x.alias("x")))
-    return F.transform(F.array_sort(placed), lambda p: p["x"])
+    )
+    symbols = tuple(Rule(re.compile(p), "symbol", lambda m: m[1].lower(), lambda m: FAMILY[m[1]], 1) for p in places)
+    pure = Rule(re.compile(rf"{PERCENT}\s+({NAME}|{SYMBOL})", FLAGS), "purity_spec", lambda m: m[1].lower(), lambda m: None)
+    return (
+        (gate(FORMS), listed(FORMS, "chemical_form")),
+        (gate(TRADE), listed(TRADE, "trade_spec")),
+        (named.pattern, (named,)),
+        (re.compile(SYMBOL), (combined, *symbols)),
+        (re.compile(PERCENT), (pure,)),
+    )
+
+
+def find_metals(text: str | None) -> list[tuple[int, int, str, str, str | None]]:
+    """(start, stop, query, hint, category) in order of place.
+
+    Of overlapping mentions the rule that comes first stays, unless a longer one follows.
+    """
+    kept: list[tuple[int, int, str, str, str | None]] = []
+    for gate, group in rules() if text else ():
+        if not gate.search(text):
+            continue
+        for rule in group:
+            for m in rule.pattern.finditer(text):
+                start, stop = m.span(rule.group)
+                if not any(start < b and stop > a and b - a >= stop - start for a, b, *_ in kept):
+                    kept.append((start, stop, rule.query(m), rule.hint, rule.category(m)))
+    return sorted(kept, key=lambda k: k[0])
 
 
 def document_metals(docs: DataFrame, id_col: str, text_col: str, cluster_hint: str | None = None) -> DataFrame:
     """(id, query, start, stop, hint, category, cluster) of every mention; null texts have none.
 
-    Only texts with any letter pattern of a rule are taken through all of them.
+    Some fifty patterns with a rule of overlaps go over each text; they run over Arrow
+    batches, each group of patterns behind one that tells whether any can match.
     """
-    gate = "(?i)" + "|".join([p for p, *_ in FORMS + TRADE] + [rf"\b{NAME}\b", rf"(?-i:\b{SYMBOL}(?![A-Za-z]))"])
-    some = docs.select(F.col(id_col), F.col(text_col).alias("_text")).filter(F.col("_text").rlike(gate))
-    each = some.select(id_col, F.explode(metal_mentions(F.col("_text"))).alias("m"))
-    return each.select(id_col, "m.query", "m.start", "m.stop", "m.hint", "m.category", F.lit(cluster_hint).alias("cluster"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, q, s, e, h, c) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s, e, q, h, c in find_metals(t)]
+            kinds = [b.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "query", "start", "stop", "hint", "category"])
+
+    kind = dict(docs.dtypes)[id_col]
+    found = docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, query string, start int, stop int, hint string, category string")
+    return found.withColumn("cluster", F.lit(cluster_hint))
 
 
 def metal_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

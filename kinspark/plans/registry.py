@@ -5,11 +5,340 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinspark.functions import normalize as n
+from kinspark.functions.aliases import parse_aliases
+from kinspark.functions.similarity import ratio_expr
+from kinspark.operators import classify, countries, dedupe, extract_companies, extract_metals, link, metals, profile, resolve
+from kinspark.plans.consolidate import consolidate, preview
+from kinspark.session import read_table
+from kinspark.sources import exchanges, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Names that the flagship resolves, with an optional country.
+ASKED = [
+    ("Apple", None), ("Apple Computer", None), ("BHP", "AU"), ("Anglo American", None), ("AAL", None), ("Tesla Motors", None), ("Fortescue", None),
+    ("Franco Nevada", None), ("Unknown XYZ", None), ("Rio Tinto", "US"), ("Glencore", "GB"), ("Barrick Gold", "CA"),
+]
+#: Words and codes of the mining and energy sectors.
+KNOWN = "anglo american|bhp|rio tinto|vale|glencore|freeport|newmont|barrick|southern copper|exxon|chevron|shell|bp|totalenergies|conocophillips|equinor|eni|petrobras".split("|")
+MINING = (
+    "mining|mine|mineral|metals|gold|silver|copper|iron|steel|aluminum|zinc|lead|nickel|lithium|rare earth|coal|diamond|platinum|palladium|uranium|"
+    "exploration|ore|quarry|extraction|smelter|refinery|resources|commodities|cobre|minera|miner"
+).split("|")
+ENERGY = (
+    "energy|oil|gas|petroleum|lng|lpg|pipeline|drilling|offshore|onshore|refining|exploration|power|electric|electricity|utility|utilities|"
+    "solar|wind|renewable|hydro|nuclear|geothermal|coal|battery|storage|grid|transmission"
+).split("|")
+CODES = {"gics": ["10", "15", "1010", "1510"], "naics": ["21", "211", "212", "213", "221", "2211", "2212"], "nace": ["B", "D", "05", "06", "07", "08", "09", "35"]}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL where there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def sample_catalogue(spark: SparkSession) -> DataFrame:
+    listed = [(x, samples.listings(spark, x)) for x in ("ASX", "LSE", "TSX")]
+    return consolidate([("GLEIF", samples.registry(spark)), ("Wikidata", samples.knowledge(spark)), *listed])
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query that ``entry`` runs."""
-    raise NotImplementedError
+    """query_id, asked, best, score, gap, decision of the asked names."""
+    asked = spark.createDataFrame([(i, a, c) for i, (a, c) in enumerate(ASKED)], "query_id long, name string, country string")
+    best = resolve.ranked_matches(asked, sample_catalogue(spark), 5).filter("rank = 1")
+    return best.select("query_id", F.col("q_name").alias("asked"), F.col("name").alias("best"), F.round("score", 6).alias("score"), F.round("gap", 6).alias("gap"), resolve.decision(F.col("score"), F.col("gap")).alias("decision"))
+
+
+@query()
+def resolve_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
+
+
+@query()
+def resolve_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct name of the knowledge base against the sample catalogue, without the fallback."""
+    names = read_table(spark, sf_dir, "wikidata_companies").select("name").distinct().filter("name IS NOT NULL")
+    asked = names.select(F.xxhash64("name").alias("query_id"), "name", F.lit(None).cast("string").alias("country"))
+    return resolve.ranked_matches(asked, sample_catalogue(spark), 1, fallback=False).select("query_id", "name", "score")
+
+
+LEGAL = n.LEGAL_SUFFIXES.replace("'", "''")
+_NORM = rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({{c}}), '\b({LEGAL})\b\.?', '', 'g'), '[^a-z0-9&\-\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_CANON = (
+    rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({{c}}, ',\s+((?:{n.DISPLAY_SUFFIXES})\.?)', ' \1', 'gi'), "
+    rf"'\b({n.DISPLAY_SUFFIXES})\.', '\1', 'gi'), '[^A-Za-z0-9\s\-&]', ' ', 'g'), '\s+', ' ', 'g'))"
+)
+
+
+@query(f"SELECT p_partkey, {_NORM.format(c="p_name || ', Inc. & Co'")} AS name_norm FROM part")
+def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "part").select("p_partkey", n.normalize_company_name(F.concat("p_name", F.lit(", Inc. & Co"))).alias("name_norm"))
+
+
+@query(f"SELECT c_custkey, {_CANON.format(c="c_name || ', Ltd. (UK)'")} AS name, regexp_full_match({_CANON.format(c='c_name')}, '[A-Za-z0-9\\s\\-&]+') AS canonical FROM customer")
+def canonicalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read_table(spark, sf_dir, "customer")
+    return c.select("c_custkey", n.canonicalize_company_name(F.concat("c_name", F.lit(", Ltd. (UK)"))).alias("name"), n.is_canonical_name(n.canonicalize_company_name(F.col("c_name"))).alias("canonical"))
+
+
+@query(
+    "SELECT c_custkey, c_name || ':' || coalesce(n_name, 'XX') AS id, trim(regexp_replace(c_name, '[^A-Za-z0-9]+', '_', 'g'), '_') || '_' || coalesce(n_name, 'XX') AS safe_id "
+    "FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"
+)
+def company_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    c = read_table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return c.select("c_custkey", n.company_id(F.col("c_name"), F.col("n_name")).alias("id"), n.company_id(F.col("c_name"), F.col("n_name"), True).alias("safe_id"))
+
+
+@query(
+    r"""WITH m AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9\s\-/()%]', ' ', 'g'), '\s+', ' ', 'g')) AS norm, lower(trim(p_name)) AS low FROM part)
+    SELECT p_partkey, norm, trim(regexp_replace(regexp_replace(regexp_replace(low, '[\s_]+', '-', 'g'), '[^a-z0-9\-]', '', 'g'), '-+', '-', 'g'), '-') AS slug, substr(sha1(norm || '|metal'), 1, 16) AS id FROM m"""
+)
+def metal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("p_name")
+    return read_table(spark, sf_dir, "part").select("p_partkey", n.normalize_metal_name(c).alias("norm"), n.slugify_metal_name(c).alias("slug"), n.metal_id(c).alias("id"))
+
+
+@query(
+    r"""WITH RECURSIVE pairs AS (SELECT n_nationkey, r_regionkey, CASE WHEN length(n_name) <= length(r_name) THEN n_name ELSE r_name END AS a, CASE WHEN length(n_name) <= length(r_name) THEN r_name ELSE n_name END AS b FROM nation, region),
+    lcs AS (SELECT *, list_reduce(list_prepend(CAST((1 << length(a)) - 1 AS BIGINT), list_transform(string_split(b, ''), lambda ch:
+        CAST(list_sum(list_transform(range(length(a)), lambda i: CASE WHEN a[i + 1] = ch THEN 1 << i ELSE 0 END)) AS BIGINT))),
+        lambda s, m: ((s + (s & m)) | (s - (s & m))) & ((CAST(1 AS BIGINT) << length(a)) - 1)) AS left_over FROM pairs)
+    SELECT n_nationkey, r_regionkey, CAST(round(200.0 * (length(a) - bit_count(left_over)) / (length(a) + length(b)), 6) AS DOUBLE) AS ratio FROM lcs"""
+)
+def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratio of every nation's and every region's name, two dimensions of fixed size."""
+    pairs = read_table(spark, sf_dir, "nation").join(F.broadcast(read_table(spark, sf_dir, "region")), F.lit(True))
+    return pairs.select("n_nationkey", "r_regionkey", F.round(ratio_expr(F.col("n_name"), F.col("r_name")), 6).alias("ratio"))
+
+
+_TRUST = "CASE source WHEN 'GLEIF' THEN 1 WHEN 'Wikidata' THEN 2 WHEN 'ASX' THEN 3 WHEN 'LSE' THEN 3 WHEN 'TSX' THEN 3 ELSE 99 END"
+
+
+def _dedupe_sql(rows: str, order: str) -> str:
+    return (
+        f"WITH r AS ({rows}), a AS (SELECT rec_id, row_number() OVER (PARTITION BY lei ORDER BY {order}) AS k FROM r WHERE coalesce(lei, '') <> ''), "
+        f"b AS (SELECT rec_id, row_number() OVER (PARTITION BY name_norm, country ORDER BY {order}) AS k FROM r WHERE coalesce(lei, '') = '') "
+        "SELECT rec_id FROM a WHERE k = 1 UNION ALL SELECT rec_id FROM b WHERE k = 1"
+    )
+
+
+@query(_dedupe_sql("SELECT * FROM companies_filtered WHERE coalesce(name, '') <> ''", f"{_TRUST}, rec_id"))
+def dedupe_source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read_table(spark, sf_dir, "companies_filtered").filter(dedupe.has_text(F.col("name")))
+    return dedupe.dedupe_by_priority(c, [F.col("rec_id")]).select("rec_id")
+
+
+_OLD = "loaded_at < TIMESTAMP '2024-06-01'"
+
+
+@query(_dedupe_sql(f"SELECT *, CASE WHEN {_OLD} THEN 0 ELSE 1 END AS batch FROM companies_filtered", "batch DESC, rec_id"))
+def incremental_merge_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read_table(spark, sf_dir, "companies_filtered")
+    old = F.coalesce(F.expr(_OLD), F.lit(False))
+    return dedupe.merge_incremental(c.filter(old), c.filter(~old), [F.col("rec_id")]).select("rec_id")
+
+
+@query("SELECT source, count(*) AS count FROM companies_filtered WHERE source IS NOT NULL GROUP BY source")
+def profile_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.value_counts(read_table(spark, sf_dir, "companies_filtered"), "source")
+
+
+@query("SELECT country, count(*) AS count, CAST(round(100.0 * count(*) / (SELECT count(*) FROM companies_filtered), 1) AS DOUBLE) AS percent FROM companies_filtered WHERE country IS NOT NULL GROUP BY country ORDER BY 2 DESC, 1 LIMIT 20")
+def top_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.top_shares(read_table(spark, sf_dir, "companies_filtered"), "country", 20)
+
+
+_FIELDS = ["lei", "wikidata_qid", "aliases", "address"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS filled, CAST(round(100.0 * count({c}) / count(*), 1) AS DOUBLE) AS percent FROM companies_filtered" for c in _FIELDS))
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.coverage(read_table(spark, sf_dir, "companies_filtered"), _FIELDS)
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field, count(DISTINCT {c}) AS \"distinct\" FROM gleif_records" for c in ("lei", "country", "status")))
+def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.distinct_counts(read_table(spark, sf_dir, "gleif_records"), ["lei", "country", "status"])
+
+
+@query("SELECT rec_id FROM companies_filtered WHERE country = 'US' AND (contains(lower(name), 'mining') OR contains(name_norm, 'mining'))")
+def list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.list_companies(read_table(spark, sf_dir, "companies_filtered"), "us", "Mining").select("rec_id")
+
+
+@query(
+    "SELECT source, country, count(*) AS rows, count(city) AS with_city FROM (SELECT 'GLEIF' AS source, country, city FROM gleif_records UNION ALL SELECT 'Wikidata', country, NULL FROM wikidata_companies "
+    "UNION ALL SELECT exchange, country, NULL FROM exchange_listings) GROUP BY source, country"
+)
+def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [read_table(spark, sf_dir, t).withColumn("source", s) for t, s in (("gleif_records", F.lit("GLEIF")), ("wikidata_companies", F.lit("Wikidata")), ("exchange_listings", F.col("exchange")))]
+    return exchanges.union_listings(tables).groupBy("source", "country").agg(F.count("*").alias("rows"), F.count("city").alias("with_city"))
+
+
+@query("SELECT lei FROM gleif_records INTERSECT SELECT lei FROM wikidata_companies WHERE lei <> ''")
+def lei_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = read_table(spark, sf_dir, "wikidata_companies").select("lei").filter("lei <> ''")
+    return read_table(spark, sf_dir, "gleif_records").select("lei").intersect(known)
+
+
+@query("SELECT ticker, name, exchange FROM (SELECT *, row_number() OVER (PARTITION BY trim(ticker) ORDER BY exchange, name, industry) AS k FROM exchange_listings WHERE ticker IS NOT NULL AND lower(trim(ticker)) NOT IN ('', 'nan')) WHERE k = 1")
+def first_by_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = read_table(spark, sf_dir, "exchange_listings").filter("ticker IS NOT NULL AND lower(trim(ticker)) NOT IN ('', 'nan')").withColumn("t", F.trim("ticker"))
+    return dedupe.keep_first(listed, ["t"], [F.col("exchange"), F.col("name"), F.col("industry").asc_nulls_last()]).select("ticker", "name", "exchange")
+
+
+@query(
+    "SELECT lei, country, arg_min(city, k) AS city, arg_min(address, k) AS address FROM (SELECT lei, country, nullif(city, '') AS city, nullif(address, '') AS address, "
+    "coalesce(name, '') || '|' || coalesce(city, '') || '|' || coalesce(address, '') AS k FROM gleif_records) GROUP BY lei, country"
+)
+def fill_from_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = read_table(spark, sf_dir, "gleif_records")
+    order = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("name", "city", "address")])
+    return dedupe.fill_from_group(g, ["lei", "country"], ["city", "address"], [order])
+
+
+@query("SELECT wikidata_qid, name, i AS position, a AS alias FROM (SELECT wikidata_qid, name, unnest([1, 2, 3]) AS i, unnest([alias1, alias2, alias3]) AS a FROM wikidata_companies) WHERE trim(a) <> ''")
+def listed_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = read_table(spark, sf_dir, "wikidata_companies")
+    each = w.select("wikidata_qid", "name", F.posexplode(F.array("alias1", "alias2", "alias3")).alias("i", "alias"))
+    return each.filter("trim(alias) <> ''").select("wikidata_qid", "name", (F.col("i") + 1).alias("position"), "alias")
+
+
+@query("SELECT rec_id, iso2, lpad(\"numeric\", 3, '0') AS code FROM companies_filtered LEFT JOIN (SELECT DISTINCT lower(trim(alias)) AS k, iso2, \"numeric\" FROM country_aliases) ON lower(trim(country)) = k")
+def country_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dim = read_table(spark, sf_dir, "country_aliases").select(n.country_key(F.col("alias")).alias("k"), "iso2", countries.code_in("numeric").alias("code")).distinct()
+    c = read_table(spark, sf_dir, "companies_filtered").withColumn("k", n.country_key(F.col("country")))
+    return c.join(F.broadcast(dim), "k", "left").select("rec_id", "iso2", "code")
+
+
+@query()
+def country_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct way that records write a country, resolved against the country dimension."""
+    said = read_table(spark, sf_dir, "companies_filtered").select("country").distinct()
+    return countries.resolve_countries(said, "country", countries.country_dimension(spark))
+
+
+@query()
+def link_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact, _ = link.link_exact(read_table(spark, sf_dir, "exchange_listings"), read_table(spark, sf_dir, "gleif_records"), "lei")
+    return exact.select("ticker", "name", "country", "match_key", "match_name", "score", "match_type")
+
+
+@query()
+def link_fuzzy_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with turned words against the part names of their brand."""
+    parts = read_table(spark, sf_dir, "part").select(F.col("p_brand").alias("country"), "p_name").distinct()
+    index = parts.select("country", F.col("p_name").alias("name")).withColumn("key", F.concat_ws("|", "country", "name"))
+    asked = parts.select("country", F.array_join(F.reverse(F.split("p_name", " ")), " ").alias("name"))
+    return link.link(asked, index, "key").select("country", "name", "match_name", F.round("score", 6).alias("score"), "match_type")
+
+
+_LISTED = r"""SELECT lower(unnest(CASE WHEN aliases LIKE '[%' THEN list_transform(regexp_extract_all(aliases, '''(?:[^''\\]|\\.)*''|"(?:[^"\\]|\\.)*"'), lambda x: trim(replace(substr(x, 2, length(x) - 2), '\', '')))
+  ELSE list_transform(regexp_split_to_array(aliases, '[|;]'), lambda x: trim(x)) END)) AS a FROM companies_filtered WHERE aliases IS NOT NULL"""
+
+
+@query(
+    f"SELECT ticker, name, exchange FROM exchange_listings e WHERE NOT EXISTS (SELECT 1 FROM companies_filtered c WHERE lower(trim(c.name)) = lower(trim(e.name))) "
+    f"AND NOT EXISTS (SELECT 1 FROM ({_LISTED}) WHERE a = nullif(lower(e.ticker), '') AND a NOT IN ('', 'nan', 'none', 'null', 'n/a', 'na', '-', 'unknown', 'pending', '[]'))"
+)
+def new_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing = read_table(spark, sf_dir, "companies_filtered").select("name", parse_aliases(F.col("aliases")).alias("aliases"))
+    key = F.lower(F.trim("name"))
+    return dedupe.new_rows(read_table(spark, sf_dir, "exchange_listings"), existing, key, key).select("ticker", "name", "exchange")
+
+
+_WORDS = sorted(set(MINING + ENERGY))
+
+
+@query("SELECT ticker, name, exchange FROM exchange_listings WHERE " + " OR ".join([*[f"contains(lower(name), '{w}')" for w in sorted({*_WORDS, *KNOWN})], *[f"contains(lower(industry), '{w}')" for w in _WORDS]]))
+def sector_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "exchange_listings")
+    return e.filter(classify.matches_sector(e, KNOWN, _WORDS, CODES)).select("ticker", "name", "exchange")
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in words)} THEN '{c}'" for c, words in extract_metals.LADDER) + " END AS category FROM documents")
+def text_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", extract_metals.text_category(F.col("text")).alias("category"))
+
+
+@query(
+    "WITH t(term, code) AS (VALUES "
+    + ", ".join(f"('{t}', '{c}')" for t, c in extract_companies.COUNTRY_TERMS.items())
+    + "), v AS (SELECT doc_id, code, count(*) AS n FROM documents JOIN t ON contains(lower(text), term) GROUP BY doc_id, code), "
+    "b AS (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) AS k FROM v) SELECT d.doc_id, b.code AS country FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id AND k = 1"
+)
+def text_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", extract_companies.inferred_country(F.col("text")).alias("country"))
+
+
+@query()
+def document_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_companies.document_mentions(read_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "mention", "start", "stop")
+
+
+@query()
+def document_metals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_metals.document_metals(read_table(spark, sf_dir, "documents"), "doc_id", "text").drop("cluster")
+
+
+@query()
+def document_metal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_metals.metal_pairs(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def consolidate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue of all three raw sources."""
+    listed = read_table(spark, sf_dir, "exchange_listings")
+    by_exchange = [(x, listed.filter(F.col("exchange") == x)) for x in ("ASX", "LSE", "TSX")]
+    return consolidate([("GLEIF", read_table(spark, sf_dir, "gleif_records")), ("Wikidata", read_table(spark, sf_dir, "wikidata_companies")), *by_exchange])
+
+
+@query()
+def resolve_metals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["Pt", "Cu", "moly", "lithium:carbonate", "neodymium praseodymium", "graphite", "unobtainium"]
+    asked = spark.createDataFrame(list(enumerate(names)), "query_id long, name string")
+    return metals.resolve_metals(asked, metals.build_metals(samples.metals(spark))).select("query_id", "asked", "name", F.round("score", 6).alias("score"))
+
+
+@query()
+def top_metals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([(0, "graphite"), (1, "lithium carbonates"), (2, "cobalt")], "query_id long, name string")
+    return metals.top_metals(asked, metals.build_metals(samples.metals(spark)), 5).select("query_id", "rank", "name", F.round("score", 6).alias("score"))
+
+
+@query()
+def validate_metals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = metals.build_metals(samples.metals(spark))
+    return profile.validate_metals(built, built.select("cluster_id").distinct().filter("cluster_id <> 'pgm_complex'"), ["name", "formula"])
+
+
+@query()
+def classify_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry rows by a word classifier behind an empty cache."""
+    g = read_table(spark, sf_dir, "gleif_records").select("name", "country")
+
+    def words(pdf):
+        hit = pdf["name"].str.lower().str.contains("min|gold|copper", regex=True)
+        return pdf[["key"]].assign(is_relevant=hit, category="supply", reasoning="", confidence=0.9, metal_intensity="", key_activities=[[] for _ in range(len(pdf))])
+
+    cache = spark.createDataFrame([], classify.RESULT)
+    return classify.classify_cached(g, cache, words)[0]
+
+
+@query()
+def seeded_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview(read_table(spark, sf_dir, "companies_filtered").select("rec_id", "name", "country", "lei"))
