@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.functions.identifiers import usable_lei, usable_qid
+from kinspark.functions.identifiers import with_usable_ids
 from kinspark.session import materialize, release
 
 #: Hash partitions of a key that adaptive execution may split further when skewed.
@@ -83,11 +83,9 @@ def _hook(open_edges: DataFrame) -> DataFrame:
     both = open_edges.select(F.col("hi").alias("node"), F.col("lo").alias("other")).unionByName(
         open_edges.select(F.col("lo").alias("node"), F.col("hi").alias("other"))
     )
-    # edges are ordered by (smaller end, larger end), a total order: no longer cycles can arise
-    chosen = both.groupBy("node").agg(
-        F.min(F.struct(F.least("node", "other").alias("l"), F.greatest("node", "other").alias("g"))).alias("e")
-    )
-    hooked = chosen.select("node", F.when(F.col("e.l") == F.col("node"), F.col("e.g")).otherwise(F.col("e.l")).alias("parent"))
+    # edges are ordered by (smaller end, larger end), so the smallest edge leads to the smallest neighbour;
+    # the order is total: no longer cycles can arise
+    hooked = both.groupBy("node").agg(F.min("other").alias("parent"))
     back = hooked.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
     tree = hooked.join(back, "parent", "left").select(
         "node",
@@ -120,9 +118,8 @@ def tied_groups(records: DataFrame, id_col: str = "rec_id", lei_col: str = "lei"
     group_id is the smallest id of the group. Records without a usable identifier
     are in no group.
     """
-    read = records.select(
-        F.col(id_col).alias("id"), usable_lei(F.col(lei_col)).alias("lei"), usable_qid(F.col(qid_col)).alias("qid")
-    ).filter("lei IS NOT NULL OR qid IS NOT NULL")
+    read = with_usable_ids(records.select(id_col, lei_col, qid_col), lei_col, qid_col)
+    read = read.select(F.col(id_col).alias("id"), F.col("usable_lei").alias("lei"), F.col("usable_qid").alias("qid")).filter("lei IS NOT NULL OR qid IS NOT NULL")
     read = materialize(read, "identifiers")
     # one row per distinct pair of identifiers, with the smallest record: partial sums absorb hot values
     cells = materialize(read.groupBy("lei", "qid").agg(F.min("id").alias("first"), F.count("*").alias("n")), "cells")

@@ -8,7 +8,7 @@ cascade runs over ever weaker combinations of attributes, each an exact join:
  3. the same without the trade,
  4. country, number, trade and an end of each word.
 In each pass, every form not yet resolved joins the best supported form (most
-records, then the smaller hash) that shares a key and is better supported than
+records under it, then the greater hash) that shares a key and is better supported than
 itself; the forms resolved so far are kept out by an anti join. As support only
 rises along the joins, they make trees, which pointer doubling collapses.
 
@@ -32,8 +32,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.functions.identifiers import source_key, usable_lei, usable_qid
-from kinspark.llm.names import spellings
+from kinspark.functions.identifiers import source_key, with_usable_ids
+from kinspark.llm.names import countries_of_lost, spellings
 from kinspark.llm.variants import END, SHORT, cuts, pairs_of_words, together
 from kinspark.session import materialize
 
@@ -52,7 +52,7 @@ def key_rules() -> dict[int, tuple[Column, list[Column]]]:
     """rule -> (condition, keys) over forms of two words."""
     word_and_end = [(w, e, i) for w, o in (("x", "y"), ("y", "x")) for i, e in enumerate(_ends(o, END))]
     two_ends = [(a, b, i, j) for i, a in enumerate(_ends("x", SHORT)) for j, b in enumerate(_ends("y", SHORT))]
-    traded = F.col("trade") != ""
+    traded = F.col("trade") != 0
     side = {"x": F.lit(0), "y": F.lit(2)}
     return {
         2: (traded, [_key(2, F.lit(i) + side[w], w, e, "trade") for w, e, i in word_and_end]),
@@ -62,25 +62,30 @@ def key_rules() -> dict[int, tuple[Column, list[Column]]]:
 
 
 def _rank(form: str) -> Column:
-    return F.struct("support", F.col(form).alias("form"))
+    """A number that orders forms by support, then by hash; long, so that its maximum is kept in a hash aggregate."""
+    return F.shiftleft(F.least("support", F.lit(2**20 - 1)).cast("long"), 42).bitwiseOR(F.col(form).bitwiseAND(F.lit(2**42 - 1)))
 
 
-def cascade(spelled: DataFrame, support: DataFrame) -> DataFrame:
+def cascade(spelled: DataFrame) -> DataFrame:
     """(form, parent, rule): every resolved form, the form it joined, and by which rule."""
-    two = materialize(pairs_of_words(spelled).join(support, "form"), "supported")
-    edges = together(spelled).unionByName(cuts(spelled, two))
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    mine = support.select(F.col("form").alias("a"), F.col("support").alias("own"))
-    other = support.select(F.col("form").alias("b"), "support")
-    offered = both.join(mine, "a").join(other, "b").withColumn("best", _rank("b"))
-    rises = F.col("best") > F.struct(F.col("own").alias("support"), F.col("a").alias("form"))
-    found = [materialize(offered.filter(rises).groupBy("a").agg(F.max("best").alias("best")).select(F.col("a").alias("form"), F.col("best.form").alias("parent"), F.lit(1).alias("rule")), "pass1")]
+    # a form without a country or only of aliases never leads another: it could not join further
+    counted = spelled.groupBy("form").agg(F.count_if((F.col("country") != "") & (F.col("kind") < 2)).alias("support"))
+    counted = materialize(counted.select("form", _rank("form").alias("rank")), "support")
+    two = materialize(pairs_of_words(spelled).join(counted, "form"), "ranked")
+    edges = together(spelled).unionByName(countries_of_lost(spelled)).unionByName(cuts(spelled, two))
+    ranked = lambda k: counted.select(F.col("form").alias(k), F.col("rank").alias(f"rank_{k}"))
+    both = edges.join(ranked("a"), "a").join(ranked("b"), "b")
+    higher = F.col("rank_b") > F.col("rank_a")
+    pick = lambda x, y: F.when(higher, F.col(x)).otherwise(F.col(y))
+    offered = both.select(pick("a", "b").alias("form"), pick("b", "a").alias("up"), F.greatest("rank_a", "rank_b").alias("rank"))
+    found = [materialize(offered.groupBy("form").agg(F.max_by("up", "rank").alias("parent")).select("form", "parent", F.lit(1).alias("rule")), "pass1")]
     for rule, (condition, keys) in key_rules().items():
         resolved = reduce(DataFrame.unionByName, found).select("form")
-        keyed = two.filter(condition).select("form", "support", F.explode(F.array(*keys)).alias("key"))
-        best = keyed.groupBy("key").agg(F.max(_rank("form")).alias("best"))
-        joined = keyed.join(resolved, "form", "left_anti").join(best, "key").filter(F.col("best") > _rank("form"))
-        found.append(materialize(joined.groupBy("form").agg(F.max("best").alias("best")).select("form", F.col("best.form").alias("parent"), F.lit(rule).alias("rule")), f"pass{rule}"))
+        keyed = two.filter(condition).select("form", "rank", F.explode(F.array(*keys)).alias("key"))
+        best = keyed.groupBy("key").agg(F.max_by("form", "rank").alias("up"), F.max("rank").alias("top"), F.min("rank").alias("low")).filter("low < top")
+        left = two.filter(condition).join(resolved, "form", "left_anti").select("form", "rank", F.explode(F.array(*keys)).alias("key"))
+        joined = left.join(best.hint("shuffle_hash"), "key").filter("top > rank")
+        found.append(materialize(joined.groupBy("form").agg(F.max_by("up", "top").alias("parent")).select("form", "parent", F.lit(rule).alias("rule")), f"pass{rule}"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -112,13 +117,14 @@ def roots(links: DataFrame) -> DataFrame:
 
 def match_sources(companies: DataFrame, country_aliases: DataFrame, least: float = 0.5) -> DataFrame:
     """(rec_id_a, rec_id_b, confidence): the same company in two sources, without a common identifier."""
-    spelled = materialize(spellings(companies, country_aliases).select("rec_id", "kind", "core", "num", "trade", "country", "whole", "form"), "forms")
-    own = spelled.groupBy("rec_id").agg(F.min_by("form", F.struct("kind", "form")).alias("form"))
-    facts = companies.select("rec_id", source_key(F.col("source")).alias("source"), usable_lei(F.col("lei")).alias("lei"), usable_qid(F.col("wikidata_qid")).alias("qid"))
-    facts = materialize(facts.join(own, "rec_id"), "facts")
-    support = materialize(spelled.groupBy("form").agg(F.count("*").alias("support")), "support")
-    links = cascade(spelled, support)
-    labels = facts.groupBy("form").agg(F.min("lei").alias("lei"), F.min("qid").alias("qid"))
+    read = with_usable_ids(companies.select("rec_id", "country", "city", "name", "name_norm", "aliases", "lei", "wikidata_qid", source_key(F.col("source")).alias("key")))
+    empty = F.xxhash64(F.lit(None).cast("string"))  # what the hash of null is
+    keep = {k: F.nullif(F.xxhash64(c), empty) for k, c in (("source", "key"), ("lei", "usable_lei"), ("qid", "usable_qid"))}
+    spelled = spellings(read.select("rec_id", "country", "city", "name", "name_norm", "aliases", *[c.alias(f"{k}_number") for k, c in keep.items()]), country_aliases, {f"{k}_number": F.col(f"{k}_number") for k in keep})
+    spelled = spelled.withColumnsRenamed({f"{k}_number": k for k in keep})
+    facts = spelled.filter("first").select("rec_id", "form", "source", "lei", "qid")
+    links = cascade(spelled)
+    labels = facts.filter("lei IS NOT NULL OR qid IS NOT NULL").groupBy("form").agg(F.min("lei").alias("lei"), F.min("qid").alias("qid"))
     precision = rule_precision(links, labels)
     confidence = F.element_at(F.create_map(*[F.lit(x) for pair in precision.items() for x in pair]), F.col("rule"))
     kept = links.withColumn("confidence", confidence).filter(F.col("confidence") >= least)

@@ -1,40 +1,44 @@
 """Variant spellings of names typed by people, linked by a symmetric-delete index.
 
 The spellings of all records are reduced to their distinct forms (country, number,
-core words). Every form of two core words is entered in an index under its first
-word with no or one letter deleted, together with the beginning or the end of its
-second word: any two forms whose first words are one slip apart (a letter wrong,
-missing, doubled or swapped with its neighbour) and whose second words are at most
-one slip apart meet under some entry. A word cut short meets its whole form under
-its first letters. Forms that meet are aligned word by word by the assignment with
-the least distance; a link stands if one word agrees and the other is a slip or an
-abbreviation of it, or, where the words of trade agree, up to three edits away from
-it, or if both are slips and the words of trade agree. Forms of other than two words
-(a blank lost or added) meet two-word forms by all their cuts, and those of three
-words are entered under both ways to join two of them and both to drop an outer one.
+core words). Forms of two core words are put into blocks that share one word, or the
+trade and an end of one. Within a block, every form is entered in an index under its
+other word with no or one letter deleted: any two words one slip apart (a letter
+wrong, missing, doubled or swapped with its neighbour) meet under some entry, and a
+word cut short, or mistyped more than once, meets its whole form under its first or
+last letters. Forms that meet are
+aligned word by word by the assignment with the least distance; a link stands if one
+word agrees and the other is a slip or an abbreviation of it, or, where the words of
+trade agree, up to three edits away from it, or if both are slips and the words of
+trade agree. Forms of other than two words (a blank lost or added) meet two-word
+forms by all their cuts, and those of three words are entered under both ways to join
+two of them and both to drop an outer one.
 Spellings of one record belong together. Linked forms make companies by Boruvka
 consolidation.
 
-Scale: a hot name is one form however many records bear it; an index entry holds the
-distinct forms one slip around a spelling, and is linked in a line and a star, never
-as all pairs. Numbers and countries must agree, so sisters and namesakes stay apart.
+Scale: a hot name is one form however many records bear it; an index entry is linked
+in a line and a star, never as all pairs. Numbers and countries must agree, so sisters and namesakes stay apart.
 
 Defined results: records without a usable spelling match nothing; a record whose
-country is unknown and cannot be told from its city or its name only matches records
-alike; repeated rows match each other where their names differ; an empty table
+country is unknown and cannot be told from its city belongs to the country that all
+records with its spelling agree on, else it only matches records alike; repeated rows match each other where their names differ; an empty table
 gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinspark.llm.consolidate import components
-from kinspark.llm.names import spellings
+from kinspark.llm.names import countries_of_lost, form_of, spellings
 from kinspark.session import materialize
 
-#: Letters of a word's beginning and end that an index entry holds.
+#: Letters of a word's beginning or end that make a block.
 END = 3
 #: Letters that an abbreviated word keeps at least.
 SHORT = 4
@@ -46,103 +50,185 @@ def one_slip(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 1).between(0, 1) | swapped
 
 
-def abbreviates(a: Column, b: Column) -> Column:
+def slips(a: str, b: str, most: int) -> int:
+    """Insertions, deletions, substitutions and neighbour swaps between a and b; most + 1 if there are more."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b or max(len(a), len(b)) == 1:
+        return min(max(len(a), len(b)), most + 1)
+    if most == 1:
+        return 1 if len(a) == len(b) == 2 and a == b[::-1] else 2
+    before, row = [], list(range(len(b) + 1))
+    for i, p in enumerate(a, 1):
+        older, before, row = before, row, [i]
+        for j, q in enumerate(b, 1):
+            cost = min(before[j] + 1, row[-1] + 1, before[j - 1] + (p != q))
+            if i > 1 and j > 1 and p == b[j - 2] and a[i - 2] == q:
+                cost = min(cost, older[j - 2] + 1)
+            row.append(cost)
+    return min(row[-1], most + 1)
+
+
+def abbreviates(a: str, b: str) -> bool:
     """Whether one of the words is an initial or a beginning of the other, of SHORT letters or more."""
-    cut = lambda s, w: w.startswith(s) & ((F.length(s) >= SHORT) | (F.length(s) == 1))
-    return cut(a, b) | cut(b, a)
-
+    a, b = sorted((a, b), key=len)
+    return b.startswith(a) and (len(a) >= SHORT or len(a) == 1)
 
-def aligned(xa: Column, ya: Column, xb: Column, yb: Column, same_trade: Column) -> Column:
-    """Whether one of the two assignments of the words makes the names variants of each other."""
 
-    def near(p: Column, q: Column) -> Column:
-        edits = F.when(F.least(F.length(p), F.length(q)) >= 8, 3).otherwise(2)
-        several = same_trade & (F.levenshtein(p, q, 3).between(0, edits)) & (F.least(F.length(p), F.length(q)) >= 6)
-        return one_slip(p, q) | abbreviates(p, q) | several
+def near(a: str, b: str, same_trade: bool) -> bool:
+    """Whether a word is a slip or an abbreviation of another, or, in the same trade, a few edits away."""
+    if slips(a, b, 1) <= 1 or abbreviates(a, b):
+        return True
+    shorter = min(len(a), len(b))
+    return same_trade and shorter >= 6 and slips(a, b, 3) <= (3 if shorter >= 8 else 2)
 
-    def fits(p: Column, q: Column, r: Column, s: Column) -> Column:
-        return ((p == q) & near(r, s)) | ((r == s) & near(p, q)) | (same_trade & one_slip(p, q) & one_slip(r, s))
 
-    return fits(xa, xb, ya, yb) | fits(xa, yb, ya, xb)
+def aligned(xa: str, ya: str, xb: str, yb: str, same_trade: bool) -> bool:
+    """Whether an assignment of the words makes the names variants of each other."""
+    for p, q, r, s in ((xa, xb, ya, yb), (xa, yb, ya, xb)):
+        if p == q:
+            if near(r, s, same_trade):
+                return True
+        elif r == s:
+            if near(p, q, same_trade):
+                return True
+        elif same_trade and slips(p, q, 1) <= 1 and slips(r, s, 1) <= 1:
+            return True
+    return False
 
 
 def pairs_of_words(spelled: DataFrame) -> DataFrame:
-    """(form, country, num, x, y, trade): the distinct forms as two words, x + y in order.
+    """(form, country, num, x, y, trade, plain): the distinct forms as two words, x + y in order.
 
     Forms of two words once; forms of three words by both ways to join neighbours, and
     without their first or last word, which may be a mistyped word of trade.
     """
-    some = spelled.filter("size(core) IN (2, 3) AND kind < 2").groupBy("form").agg(F.max(F.struct("core", "country", "num", "trade")).alias("w")).select("form", "w.*")
-    w = [F.get("core", F.lit(i)) for i in range(3)]
-    ways = F.when(F.size("core") == 2, F.array(F.struct(w[0].alias("p"), w[1].alias("q")))).otherwise(
-        F.array(*[F.struct(p.alias("p"), q.alias("q")) for p, q in ((F.concat(w[0], w[1]), w[2]), (w[0], F.concat(w[1], w[2])), (w[0], w[1]), (w[1], w[2]))])
-    )
-    each = some.select("form", "country", "num", "trade", (F.size("core") == 2).alias("plain"), F.inline(ways))
+    some = spelled.filter("n IN (2, 3) AND kind < 2").groupBy("form", "country", "num", "n", "x", "y", "z").agg(F.max("trade").alias("trade"))
+    two = some.filter("n = 2").select("form", "country", "num", "x", "y", "trade", F.lit(True).alias("plain"))
+    ways = F.array(*[F.struct(F.expr(p).alias("p"), F.expr(q).alias("q")) for p, q in (("x || y", "z"), ("x", "y || z"), ("x", "y"), ("y", "z"))])
+    three = some.filter("n = 3").select("form", "country", "num", "trade", F.inline(ways))
     straight = F.concat("p", "q") <= F.concat("q", "p")
-    return each.select("form", "country", "num", F.when(straight, F.col("p")).otherwise(F.col("q")).alias("x"), F.when(straight, F.col("q")).otherwise(F.col("p")).alias("y"), "trade", "plain")
+    turned = [F.when(straight, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("p", "q", "x"), ("q", "p", "y"))]
+    return two.unionByName(three.select("form", "country", "num", *turned, "trade", F.lit(False).alias("plain")))
 
 
 def cuts(spelled: DataFrame, two: DataFrame) -> DataFrame:
     """(a, b): forms of one, three or more words and the forms of two words they may be."""
-    odd = spelled.filter("size(core) <> 2").select("form", "country", "num", "whole").dropDuplicates(["form"])
+    odd = spelled.filter("n <> 2").select("form", "country", "num", "whole").dropDuplicates(["form"])
     places = F.sequence(F.lit(END), F.length("whole") - END)
     at = odd.filter(F.length("whole") >= 2 * END).select("form", "country", "num", "whole", F.explode(places).alias("i"))
     left, right = F.expr("substring(whole, 1, i)"), F.expr("substring(whole, i + 1)")
-    other = F.xxhash64("country", "num", F.least(F.concat(left, right), F.concat(right, left)))
-    guessed = at.select(F.col("form").alias("a"), other.alias("b"))
-    return guessed.join(two.filter("plain").select(F.col("form").alias("b")), "b", "left_semi").select("a", "b")
+    guessed = at.select(F.col("form").alias("a"), "country", "num", F.least(F.concat(left, right), F.concat(right, left)).alias("whole"))
+    plain = two.filter("plain").select(F.col("form").alias("b"), "country", "num", F.concat("x", "y").alias("whole"))
+    return guessed.join(plain, ["country", "num", "whole"]).filter("a <> b").select("a", "b")
 
 
 def together(spelled: DataFrame) -> DataFrame:
-    """(a, b): forms that are spellings of one record."""
-    # kept per distinct set of spellings, so a record delivered a thousand times counts once
-    sets = spelled.groupBy("rec_id").agg(F.sort_array(F.collect_set("form")).alias("forms")).filter("size(forms) > 1").select("forms").distinct()
-    return sets.select(F.get("forms", F.lit(0)).alias("a"), F.explode(F.slice("forms", 2, F.size("forms"))).alias("b"))
+    """(a, b): the first form of a record and its other forms, once each."""
+    lead = form_of("lead")
+    return spelled.filter(lead != F.col("form")).select(lead.alias("a"), F.col("form").alias("b")).distinct()
+
+
+def _deletions(word: str) -> set[str]:
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def _pairs_of_block(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Aligned pairs among the rows (form, word, x, y, trade) of a block that meet under a deletion."""
+    index: dict = {}
+    tried = set()
+    for row in rows:
+        form, word = row[0], row[1]
+        entries = _deletions(word)
+        entries |= {("short", word[:SHORT]), ("end", word[-SHORT:])}
+        for entry in entries:
+            met = index.get(entry)
+            if met is None:
+                index[entry] = (row, row)
+                continue
+            index[entry] = (met[0], row)
+            for other in met if met[0] is not met[1] else met[:1]:
+                if form != other[0] and (form, other[0]) not in tried:
+                    tried.add((form, other[0]))
+                    if aligned(row[2], row[3], other[2], other[3], row[4] != 0 and row[4] == other[4]):
+                        yield form, other[0]
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of aligned forms; the rows of a block follow each other, also from batch to batch."""
+    block, waiting = None, []
+
+    def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f(p) for p in found], pa.int64()) for f in (min, max)], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        blocks = batch.column(0).to_numpy()
+        rows = list(zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True))
+        starts = np.concatenate(([0], np.nonzero(np.diff(blocks))[0] + 1))
+        stops = np.append(starts[1:], len(blocks))
+        found: list[tuple[int, int]] = []
+        for i, (start, stop) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
+            last = i == len(starts) - 1
+            if blocks[start] != block:
+                if len(waiting) > 1:
+                    found += _pairs_of_block(waiting)
+                block, waiting = blocks[start], []
+            if last or waiting or stop - start > 1:
+                waiting += rows[start:stop]
+        yield out(found)
+    if len(waiting) > 1:
+        yield out(list(_pairs_of_block(waiting)))
 
 
-def _entries(two: DataFrame) -> DataFrame:
-    deleted = F.expr("transform(sequence(1, length(x)), i -> concat(substring(x, 1, i - 1), substring(x, i + 1)))")
-    firsts = F.array_distinct(F.concat(F.array("x"), deleted))
-    starts, ends = F.substring("y", 1, END), F.right("y", F.lit(END))
-    heads, tails = F.substring("x", 1, END), F.right("x", F.lit(END))
+def links(two: DataFrame) -> DataFrame:
+    """(a, b): forms of two words that are variants of each other.
+
+    The symmetric-delete index is kept by block: the forms that share a word, and those
+    that share the trade and an end of a word. A block's index maps every deletion of
+    the other word to the first and the last form that had it, so work and memory are
+    linear in the forms of a block.
+    """
     base = F.xxhash64("country", "num")
-    entry = lambda kind, a, b: F.shiftright(F.xxhash64(base, F.lit(kind), a, b), 16)
-    keys = F.concat(
-        F.transform(firsts, lambda v: entry(1, v, starts)),
-        F.transform(firsts, lambda v: entry(2, v, ends)),
-        F.array(entry(5, heads, F.col("y")), entry(6, tails, F.col("y"))),
-        F.array(entry(3, F.substring("x", 1, SHORT), F.col("y")), entry(4, F.substring("y", 1, SHORT), F.col("x"))),
+    start, end = F.substring("y", 1, SHORT), F.right("y", F.lit(SHORT))
+    traded = F.when(F.col("trade") != 0, F.col("trade"))
+    blocks = F.array(
+        F.struct(F.xxhash64(base, F.lit(1), "y").alias("block"), F.col("x").alias("word")),
+        F.struct(F.xxhash64(base, F.lit(2), "x").alias("block"), F.col("y").alias("word")),
+        F.struct(F.when(traded.isNotNull(), F.xxhash64(base, F.lit(3), "trade", start)).alias("block"), F.col("x").alias("word")),
+        F.struct(F.when(traded.isNotNull(), F.xxhash64(base, F.lit(4), "trade", end)).alias("block"), F.col("x").alias("word")),
     )
-    return two.select("form", F.explode(keys).alias("entry"))
-
-
-def links(two: DataFrame) -> DataFrame:
-    """(a, b): forms of two words that are variants of each other."""
-    met = _entries(two).groupBy("entry").agg(F.sort_array(F.collect_set("form")).alias("f")).filter("size(f) > 1")
-    pairs = F.expr("concat(transform(slice(f, 2, size(f)), b -> struct(f[0] AS a, b AS b)), transform(sequence(2, greatest(size(f) - 1, 2)), i -> struct(f[i - 1] AS a, get(f, i) AS b)))")
-    candidates = met.select(F.inline(pairs)).filter("b IS NOT NULL").distinct()
-    side = lambda k: two.select(F.col("form").alias(k), *[F.col(c).alias(f"{c}{k}") for c in ("x", "y", "trade")])
-    both = candidates.join(side("a"), "a").join(side("b"), "b")
-    same_trade = (F.col("tradea") == F.col("tradeb")) & (F.col("tradea") != "")
-    return both.filter(aligned(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb"), same_trade)).select("a", "b").distinct()
+    rows = two.select("form", "x", "y", "trade", F.inline(blocks)).filter("block IS NOT NULL").select("block", "form", "word", "x", "y", "trade")
+    return rows.repartition("block").sortWithinPartitions("block", "form").mapInArrow(_link, "a long, b long").distinct()
 
 
 def companies_by_spelling(companies: DataFrame, country_aliases: DataFrame) -> DataFrame:
-    """(rec_id, company): records under the same company number are variants of one name."""
-    spelled = materialize(spellings(companies, country_aliases).select("rec_id", "kind", "core", "num", "trade", "country", "whole", "form"), "forms")
+    """(rec_id, company, written): records under the same company number are variants of one name.
+
+    written is the hash of the name as written; a null name counts as a string of its own.
+    """
+    spelled = spellings(companies, country_aliases, {"written": F.xxhash64("name", F.col("name").isNull())})
     two = materialize(pairs_of_words(spelled), "twowords")
-    edges = together(spelled).unionByName(cuts(spelled, two)).unionByName(links(two))
+    edges = together(spelled).unionByName(countries_of_lost(spelled)).unionByName(cuts(spelled, two)).unionByName(links(two))
     labels = components(edges)
-    own = spelled.groupBy("rec_id").agg(F.min_by("form", F.struct("kind", "form")).alias("vertex"))
-    return own.join(labels, "vertex", "left").select("rec_id", F.coalesce("component", "vertex").alias("company"))
+    own = spelled.filter("first").select("rec_id", F.col("form").alias("vertex"), "written")
+    return own.join(labels, "vertex", "left").select("rec_id", F.coalesce("component", "vertex").alias("company"), "written")
 
 
 def variant_pairs(companies: DataFrame, country_aliases: DataFrame) -> DataFrame:
     """(rec_id_a, rec_id_b): records of one company whose names are different strings."""
     of = materialize(companies_by_spelling(companies, country_aliases), "companies")
-    named = companies.select("rec_id", "name").filter("name IS NOT NULL").join(of, "rec_id")
-    several = of.groupBy("company").count().filter("count > 1").select("company")
-    rows = materialize(named.join(several, "company", "left_semi"), "named")
-    a = rows.select("company", F.col("rec_id").alias("rec_id_a"), F.col("name").alias("name_a"))
-    b = rows.select("company", F.col("rec_id").alias("rec_id_b"), F.col("name").alias("name_b"))
-    return a.join(b, "company").filter("rec_id_a < rec_id_b AND name_a <> name_b").select("rec_id_a", "rec_id_b")
+    several = of.groupBy("company").agg(F.min("written").alias("low"), F.max("written").alias("high")).filter("low < high").select("company")
+    rows = materialize(of.join(several, "company", "left_semi"), "named")
+    a, b = (rows.select("company", F.col("rec_id").alias(f"rec_id_{k}"), F.col("written").alias(f"written_{k}")) for k in "ab")
+    return a.join(b, "company").filter("rec_id_a < rec_id_b AND written_a <> written_b").select("rec_id_a", "rec_id_b")
