@@ -66,13 +66,14 @@ def skyline_survivors(
     cell = F.struct(
         "trust",
         F.col("best.age").alias("age"),
-        *[(-F.col(m)).alias(m) for m in marks],
         F.col("best.id").alias("id"),
+        *[(-F.col(m)).alias(m) for m in marks],
     )
     gathered = cells.groupBy("g").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 
     def beats(x: Column, y: Column) -> Column:
-        out = (x["trust"] <= y["trust"]) & (x["age"] <= y["age"])
+        # of equal age the smaller id is taken as the more recent, so that ties are ordered on all axes
+        out = (x["trust"] <= y["trust"]) & ((x["age"] < y["age"]) | ((x["age"] == y["age"]) & (x["id"] <= y["id"])))
         for m in marks:
             out = out & (x[m] <= y[m])
         return out
