@@ -102,8 +102,8 @@ def same_shape() -> list[list[str]]:
             if not form:
                 continue
             kind, _, rest = form.partition(" ") if form[0] == "<" else ("", "", form)
-            # of compatibility forms that are no letters, as signs for words, the shape differs
-            if not kind or kind in SAME_SHAPE and (kind != "<compat>" or category[0] == "L"):
+            # of compatibility forms that are no letters or letter numerals, as signs for words, the shape differs
+            if not kind or kind in SAME_SHAPE and (kind != "<compat>" or category[0] == "L" or category == "Nl"):
                 plain = "".join(chr(int(x, 16)) for x in rest.split())
                 if not plain.startswith(" "):  # spacing accents are signs of their own
                     classes.union(ch, plain)
