@@ -172,7 +172,7 @@ def labellers() -> list[Labeller]:
     enough = c("body_words") >= 12
     repeated = (c("variety") < 1.3) & (c("words") > 12) | (c("distinct_lines") < 0.6) & (c("lines") > 5)
     garbled = c("garbled_share") >= 0.35
-    clean = (c("garbled_share") < 0.3) & ~repeated
+    clean = (c("garbled_share") < 0.3) & ~repeated & (c("words_a_line") >= 4)
     few_lines = clean & (c("labelled_lines") < 0.3) & (c("delimited_lines") < 0.3)
     odd = (c("words") == 0) | garbled | repeated | (c("markup_share") >= 0.3) | (c("longest_share") >= 0.3)
     return [
