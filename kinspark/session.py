@@ -7,8 +7,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Rows of a narrow table up to which it is broadcast.
+MAX_BROADCAST_ROWS = 200_000
 
 
 def get_session(cores: int | str = "*", app: str = "kinspark", shuffle_partitions: int = 8) -> SparkSession:
@@ -60,6 +63,11 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written narrow table, marked for broadcast if it has at most ``limit`` rows; beyond, joins shuffle it."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def release(df: DataFrame) -> None:
     """Delete the table that ``materialize`` wrote, once nothing reads it."""
     path = getattr(df, "_kinspark_path", None)
