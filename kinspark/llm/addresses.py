@@ -5,11 +5,13 @@
     house names are set aside. A beam keeps the best few readings by their plainness.
  2. Localities: spellings of a city are clustered on the best supported one; where
     the city is missing, it is looked up by the part of the address that names one,
-    then by the postal code.
+    then by the postal code, then by street and number, where only one city has them.
  3. Gazetteer: the streets that the readings name are counted by locality, kind and
     direction, and spellings are clustered within the locality: each joins the best
     supported spelling one slip away (a symmetric-delete index finds it) of the same
-    kind and direction, or the one that its missing kind or direction leaves.
+    kind and direction, two slips away if it occurs once and a house number is common,
+    or the one that
+    its missing kind or direction leaves.
     A cluster is a street with an identifier.
  4. The beam goes over the gazetteer: among the readings of an address, the one with
     the street of least cost and most support is taken.
@@ -36,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinspark.llm.lookalike import LATIN_CYRILLIC, LATIN_GREEK
-from kinspark.llm.variants import one_slip
-from kinspark.session import materialize
+from kinspark.llm.variants import one_slip, slips
+from kinspark.session import broadcast_if_small, materialize
 
 #: Readings of an address that the beam keeps.
 BEAM = 3
@@ -49,7 +51,7 @@ KINDS = {
     "av": "avenue ave av avenida avda avd aven", "bd": "boulevard blvd boul bd bvd", "dr": "drive dr drv", "rd": "road rd", "ct": "court ct crt",
     "te": "terrace ter tce terr", "pw": "parkway pkwy pky pkw", "st": "street st str strasse strase", "sq": "square sq", "ln": "lane ln la",
     "ca": "calle c cl", "pl": "plaza plz pza platz place pl praca pca pc plats", "ps": "paseo pso", "cm": "camino cno cmno", "ru": "rue rua r",
-    "qu": "quai", "ch": "chemin chem ch", "tv": "travessa trav tv", "ga": "gasse gatan", "to": "torget torg", "we": "weg", "va": "vagen", "al": "allee", "uf": "ufer",
+    "qu": "quai q", "ch": "chemin chem ch", "tv": "travessa trav tv", "ga": "gasse gatan", "to": "torget torg", "we": "weg", "va": "vagen", "al": "allee", "uf": "ufer",
 }
 KIND_OF = {w: k for k, ws in KINDS.items() for w in ws.split()}
 COMPOUND = re.compile(r"^(.{3,}?)(strasse|strase|str|gasse|gatan|platz|weg|allee|ufer|vagen|torget)$")
@@ -57,7 +59,7 @@ DOTTED = re.compile(r"^(.{3,}?)(g|v|w|t|pl|all|uf)$")
 DOTTED_KIND = {"g": "ga", "t": "to", "v": "va", "w": "we", "pl": "pl", "all": "al", "uf": "uf"}
 DIRECTIONS = {"n": "n", "s": "s", "e": "e", "w": "w", "north": "n", "south": "s", "east": "e", "west": "w"}
 #: Short words in names of cities.
-CITY_WORDS = {"mt": "mount", "pt": "port", "pto": "puerto", "ste": "sainte", "sta": "santa", "st": "saint", "skt": "sankt", "city": "", "n": "north", "s": "south", "nth": "north", "sth": "south"}
+CITY_WORDS = {"mt": "mount", "pt": "port", "pto": "puerto", "sta": "santa", "saint": "st", "sankt": "st", "skt": "st", "city": "", "n": "north", "s": "south", "nth": "north", "sth": "south"}
 UNIT = re.compile(
     r"#|\b(?:floor|flr?|level|lvl|apt|apartment|ste|suite|unit|room|rm|building|bldg|etage|etg|og|stock|haus|gebaude|geb|bat|batiment|piso|planta|oficina|ofic|of|sala|andar|bloco|plan|tr|vaning)\b"
 )
@@ -148,7 +150,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for rec, address, city, postal in zip(*[c.to_pylist() for c in b.columns], strict=True):
             city_key = city_letters(city) if city else ""
-            postal_key = re.sub(r"^[A-Z]{2}-|[^A-Z0-9]+", "", postal.upper()) if postal else ""
+            postal_key = re.sub(r"^[A-Z]{2}-|(?<=\d{5})-\d{4}$|[^A-Z0-9]+", "", postal.strip().upper()) if postal else ""
             rows += [(rec, *r, city_key, postal_key) for r in readings(address)]
         yield pa.RecordBatch.from_pylist([dict(zip([f for f, _ in fields], r, strict=True)) for r in rows], schema=pa.schema(fields))
 
@@ -176,33 +178,103 @@ def localities(read: DataFrame) -> DataFrame:
     counted = one.filter("length(city) > 3").groupBy("city").agg(F.count("*").alias("support"))
     better = _best_one_slip(counted, [], "city", CITY_RATIO)
     known = materialize(counted.join(better, "city", "left").select("city", "support", F.coalesce("better", "city").alias("locality")), "cities")
-    by_postal = one.filter("city <> '' AND postal <> ''").join(known.select("city", "locality"), "city").groupBy("postal", "locality").count()
-    homes = by_postal.groupBy("postal").agg(F.max_by("locality", F.struct("count", "locality")).alias("home"))
-    with_city = one.join(known.select("city", F.col("locality").alias("own")), "city", "left").filter("own IS NOT NULL").select("rec_id", F.col("own").alias("locality"))
+    cities = broadcast_if_small(known.select("city", "locality"))
+    by_postal = one.filter("city <> '' AND postal <> ''").join(cities, "city").groupBy("postal", "locality").count()
+    homes = materialize(by_postal.groupBy("postal").agg(F.max_by("locality", F.struct("count", "locality")).alias("home")), "homes")
+    homes = broadcast_if_small(homes)
+    with_city = one.join(cities.withColumnRenamed("locality", "own"), "city", "left").filter("own IS NOT NULL").select("rec_id", F.col("own").alias("locality"))
     lost = one.filter("length(city) <= 3")
-    named = lost.join(known.select(F.col("city").alias("named_city"), F.col("locality").alias("said")), "named_city", "left").join(homes, "postal", "left")
-    return with_city.unionByName(named.select("rec_id", F.coalesce("said", "home").alias("locality")).filter("locality IS NOT NULL"))
+    named = lost.join(cities.select(F.col("city").alias("named_city"), F.col("locality").alias("said")), "named_city", "left").join(homes, "postal", "left")
+    found = materialize(with_city.unionByName(named.select("rec_id", F.coalesce("said", "home").alias("locality")).filter("locality IS NOT NULL")), "located")
+    # what is still lost takes the only locality that has its street and number
+    plain = read.filter("kind <> ''").select("rec_id", F.xxhash64("direction", "kind", "name", "number").alias("spot"))
+    open_ = materialize(plain.join(found, "rec_id", "left_anti"), "open")
+    spots = plain.join(open_.select("spot").distinct(), "spot", "left_semi").join(found, "rec_id")
+    only = spots.groupBy("spot").agg(F.min("locality").alias("locality"), F.max("locality").alias("high")).filter("locality = high")
+    told = open_.join(only, "spot").groupBy("rec_id").agg(F.min("locality").alias("locality"), F.max("locality").alias("high")).filter("locality = high")
+    return found.unionByName(told.select("rec_id", "locality"))
+
+
+def _better_of_block(rows: list[tuple[int, str, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(form, better form, its support, slips) for the rows (form, name, support, allowed slips) of a block.
+
+    Rows are entered by falling support, so whatever meets a row under a deletion is
+    better supported (or as well and smaller in spelling).
+    """
+    index: dict[str, list[tuple]] = {}
+    for row in sorted(set(rows), key=lambda r: (-r[2], r[1])):
+        form, name, _, most = row
+        entries = {name, *(name[:i] + name[i + 1 :] for i in range(len(name)))}
+        if most > 1:
+            entries |= {"^" + name[:4], "$" + name[-4:]}
+        met = {other for e in entries for other in index.get(e, ())}
+        near = [(slips(name, other[1], most), -other[2], other[1], other[0]) for other in met if other[0] != form]
+        near = [n for n in near if n[0] <= (most if row[2] == 1 else 1)]
+        if near:
+            cost, support, _, better = min(near)
+            yield form, better, -support, cost
+        for e in entries:
+            index.setdefault(e, []).append(row)
+
+
+def _better(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The better spellings found in blocks; the rows of a block follow each other, also from batch to batch."""
+    block, waiting = None, []
+
+    def out(found: list[tuple]) -> pa.RecordBatch:
+        kinds = (("form", pa.int64()), ("better", pa.int64()), ("weight", pa.int64()), ("cost", pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+    for batch in batches:
+        found: list[tuple] = []
+        for b, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if b != block:
+                if len(waiting) > 1:
+                    found += _better_of_block(waiting)
+                block, waiting = b, []
+            waiting.append(tuple(row))
+        yield out(found)
+    if len(waiting) > 1:
+        yield out(list(_better_of_block(waiting)))
+
+
+def better_spellings(entries: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(form, parent): for each street spelling the best supported one a slip away, else, with a house number in common, two.
+
+    entries: scope, name, support, form; numbers: scope, name, support, form, number.
+    Blocks share the scope and the beginning or the end of the name (and the number),
+    of which a slip leaves one whole.
+    """
+    ends = {1: F.substring("name", 1, 2), 2: F.right("name", F.lit(2))}
+    keyed = lambda df, most, *more: df.select(F.explode(F.array(*[F.xxhash64(F.lit(k + 2 * most), "scope", *more, e) for k, e in ends.items()])).alias("block"), "form", "name", "support", F.lit(most).alias("most"))
+    # only a long spelling that occurs once is taken for one with two slips; the others are there to be met
+    rows = keyed(entries, 1).unionByName(keyed(numbers.filter("length(name) >= 8"), 2, "number"))
+    found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_better, "form long, better long, weight long, cost int")
+    return found.groupBy("form").agg(F.min_by("better", F.struct("cost", -F.col("weight"), "better")).alias("parent"))
 
 
 def streets(placed: DataFrame) -> DataFrame:
     """(locality, direction, kind, name, street, support): the gazetteer; street identifies the cluster."""
     scope = ["locality", "direction", "kind"]
-    counted = materialize(placed.groupBy(*scope, "name").agg(F.count_if(F.col("cost") < 4).alias("sure"), F.count("*").alias("support")), "gazetteer")
-    better = _best_one_slip(counted, scope, "name", 1)
+    form = F.xxhash64(*scope, "name")
+    numbered = placed.groupBy(*scope, "name", "number").agg(F.count("*").alias("n"))
+    numbered = materialize(numbered.select(*scope, "name", "number", "n", F.xxhash64(*scope).alias("scope"), form.alias("form")), "numbers")
+    counted = materialize(numbered.groupBy(*scope, "name", "scope", "form").agg(F.sum("n").alias("support")), "gazetteer")
+    known = numbered.join(counted.select("form", "support"), "form")
+    better = better_spellings(counted.filter("kind <> ''"), known.filter("kind <> ''")).withColumnRenamed("parent", "better")
     # a reading without a kind or direction joins the best supported street of its name
     fuller = counted.filter("kind <> '' AND direction <> ''").groupBy("locality", "kind", "name").agg(F.max_by("direction", F.struct("support", "direction")).alias("to_direction"))
     kinds = counted.filter("kind <> ''").groupBy("locality", "name").agg(F.max_by(F.struct("kind", "direction"), F.struct("support", "kind", "direction")).alias("to"))
     entry = lambda *c: F.xxhash64(*c)
-    own = counted.select(*scope, "name", "support", entry(*scope, "name").alias("form"))
     linked = (
-        own.join(better, [*scope, "name"], "left")
+        counted.join(better, "form", "left")
         .join(kinds, ["locality", "name"], "left")
         .join(fuller, ["locality", "kind", "name"], "left")
         .select(
             *scope, "name", "support", "form",
             F.when(F.col("kind") == "", F.when(F.col("to").isNotNull(), entry("locality", "to.direction", "to.kind", "name")))
             .when((F.col("direction") == "") & F.col("to_direction").isNotNull(), entry("locality", "to_direction", "kind", "name"))
-            .otherwise(F.when(F.col("better").isNotNull(), entry(*scope, "better"))).alias("parent"),
+            .otherwise(F.col("better")).alias("parent"),
         )
     )
     tree = materialize(linked.withColumn("street", F.coalesce("parent", "form")).drop("parent"), "streets")
