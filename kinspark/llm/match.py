@@ -45,7 +45,7 @@ def _ends(c: str, n: int) -> list[Column]:
 
 
 def _key(rule: int, *parts: Column | str) -> Column:
-    return F.xxhash64(F.lit(rule), "country", "num", *parts)
+    return F.xxhash64(F.lit(rule), "base", *parts)
 
 
 def key_rules() -> dict[int, tuple[Column, list[Column]]]:

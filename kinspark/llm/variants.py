@@ -107,29 +107,34 @@ def aligned(xa: str, ya: str, xb: str, yb: str, same_trade: bool) -> bool:
 
 
 def pairs_of_words(spelled: DataFrame) -> DataFrame:
-    """(form, country, num, x, y, trade, plain): the distinct forms as two words, x + y in order.
+    """(form, base, x, y, trade, plain): the distinct forms as two words, x + y in order; base stands for country and number.
 
     Forms of two words once; forms of three words by both ways to join neighbours, and
     without their first or last word, which may be a mistyped word of trade.
     """
-    some = spelled.filter("n IN (2, 3) AND kind < 2").groupBy("form", "country", "num", "n", "x", "y", "z").agg(F.max("trade").alias("trade"))
-    two = some.filter("n = 2").select("form", "country", "num", "x", "y", "trade", F.lit(True).alias("plain"))
+    some = spelled.filter("n IN (2, 3) AND kind < 2").groupBy("form", base_of().alias("base"), "n", "x", "y", "z").agg(F.max("trade").alias("trade"))
+    two = some.filter("n = 2").select("form", "base", "x", "y", "trade", F.lit(True).alias("plain"))
     ways = F.array(*[F.struct(F.expr(p).alias("p"), F.expr(q).alias("q")) for p, q in (("x || y", "z"), ("x", "y || z"), ("x", "y"), ("y", "z"))])
-    three = some.filter("n = 3").select("form", "country", "num", "trade", F.inline(ways))
+    three = some.filter("n = 3").select("form", "base", "trade", F.inline(ways))
     straight = F.concat("p", "q") <= F.concat("q", "p")
     turned = [F.when(straight, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("p", "q", "x"), ("q", "p", "y"))]
-    return two.unionByName(three.select("form", "country", "num", *turned, "trade", F.lit(False).alias("plain")))
+    return two.unionByName(three.select("form", "base", *turned, "trade", F.lit(False).alias("plain")))
 
 
 def cuts(spelled: DataFrame, two: DataFrame) -> DataFrame:
     """(a, b): forms of one, three or more words and the forms of two words they may be."""
-    odd = spelled.filter("n <> 2").select("form", "country", "num", "whole").dropDuplicates(["form"])
+    odd = spelled.filter("n <> 2").select("form", base_of().alias("base"), "whole").distinct()
     places = F.sequence(F.lit(END), F.length("whole") - END)
-    at = odd.filter(F.length("whole") >= 2 * END).select("form", "country", "num", "whole", F.explode(places).alias("i"))
+    at = odd.filter(F.length("whole") >= 2 * END).select("form", "base", "whole", F.explode(places).alias("i"))
     left, right = F.expr("substring(whole, 1, i)"), F.expr("substring(whole, i + 1)")
-    guessed = at.select(F.col("form").alias("a"), "country", "num", F.least(F.concat(left, right), F.concat(right, left)).alias("whole"))
-    plain = two.filter("plain").select(F.col("form").alias("b"), "country", "num", F.concat("x", "y").alias("whole"))
-    return guessed.join(plain, ["country", "num", "whole"]).filter("a <> b").select("a", "b")
+    guessed = at.select(F.col("form").alias("a"), F.xxhash64("base", F.least(F.concat(left, right), F.concat(right, left))).alias("key"))
+    plain = two.filter("plain").select(F.col("form").alias("b"), F.xxhash64("base", F.concat("x", "y")).alias("key"))
+    return guessed.join(plain, "key").filter("a <> b").select("a", "b")
+
+
+def base_of() -> Column:
+    """The number that stands for the country and the number of a name."""
+    return F.xxhash64("country", "num")
 
 
 def together(spelled: DataFrame) -> DataFrame:
@@ -199,7 +204,7 @@ def links(two: DataFrame) -> DataFrame:
     the other word to the first and the last form that had it, so work and memory are
     linear in the forms of a block.
     """
-    base = F.xxhash64("country", "num")
+    base = F.col("base")
     start, end = F.substring("y", 1, SHORT), F.right("y", F.lit(SHORT))
     traded = F.when(F.col("trade") != 0, F.col("trade"))
     blocks = F.array(
