@@ -6,6 +6,7 @@ counts as an empty text.
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -46,7 +47,7 @@ def to_ascii(c: Column) -> Column:
     several (a ligature, a fraction) are looked up sign by sign.
     """
     single_from, single_to, several = _ascii_tables()
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # folded to one constant
     spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
     drop = lambda x: F.regexp_replace(F.translate(x, single_from, single_to), r"[^\x00-\x7F]", "")
     odd = "[" + "".join(several) + "]"

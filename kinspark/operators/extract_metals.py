@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -61,13 +62,18 @@ SYMBOL = "(?:" + "|".join(sorted(FAMILY, key=lambda s: (-len(s), s))) + ")"
 NAME = "(?:" + "|".join(sorted(NAME_OF, key=lambda s: (-len(s), s))) + ")"
 PERCENT = r"\d+(?:\.\d+)?%"
 FLAGS = re.IGNORECASE
+STRETCH = 64
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern with the hint of its mentions; query and category are fixed or told from the matched text."""
+    """A pattern with the hint of its mentions; query and category are told from the match.
+
+    stem is a literal that every match has, in lower case; texts without it are passed over.
+    """
 
     pattern: re.Pattern
+    stem: str
     hint: str
     query: Callable[[re.Match], str]
     category: Callable[[re.Match], str | None]
@@ -75,26 +81,35 @@ class Rule:
 
 
 @lru_cache(maxsize=1)
-def rules() -> tuple[tuple[re.Pattern, tuple[Rule, ...]], ...]:
-    """(gate, rules) in order of preference; a text without a match of the gate has none of its rules."""
-    listed = lambda table, hint: tuple(Rule(re.compile(p, FLAGS), hint, lambda m, q=q: q, lambda m, c=c: c) for p, q, c in table)
-    gate = lambda table: re.compile("|".join(p for p, _, _ in table), FLAGS)
+def literal_rules() -> tuple[Rule, ...]:
+    """Chemical forms, then trade specifications, in order of preference."""
+
+    def listed(table: tuple, hint: str) -> list[Rule]:
+        return [Rule(re.compile(p, FLAGS), re.match(r"[A-Za-z0-9]+", p)[0].lower(), hint, lambda m, q=q: q, lambda m, c=c: c) for p, q, c in table]
+
+    return (*listed(FORMS, "chemical_form"), *listed(TRADE, "trade_spec"))
+
+
+@lru_cache(maxsize=4096)
+def name_rule(names: tuple[str, ...]) -> Rule:
+    """The rule for those of the names that occur in a text."""
+    either = "|".join(sorted(names, key=lambda s: (-len(s), s)))
+    return Rule(re.compile(rf"\b(?:{either})\b", FLAGS), "", "name", lambda m: NAME_OF[m[0].lower()][0], lambda m: NAME_OF[m[0].lower()][1])
+
+
+@lru_cache(maxsize=1)
+def symbol_rules() -> tuple[Rule, ...]:
+    """Combined symbols, symbols by their context, purities."""
     lower = lambda m: m[0].lower()
-    named = Rule(re.compile(rf"\b{NAME}\b", FLAGS), "name", lambda m: NAME_OF[m[0].lower()][0], lambda m: NAME_OF[m[0].lower()][1])
-    combined = Rule(re.compile(rf"\b{SYMBOL}(?:[/\-]{SYMBOL})+\b"), "symbol_combination", lower, lambda m: None)
+    capital = "(?=[A-Z])"
+    combined = Rule(re.compile(rf"\b{capital}{SYMBOL}(?:[/\-]{SYMBOL})+\b"), "", "symbol_combination", lower, lambda m: None)
     places = (
-        rf"\(({SYMBOL})\)", rf"[:=]\s*({SYMBOL})\b", rf"{PERCENT}\s*({SYMBOL})\b", rf"\b(?:of|for|with|containing)\s+({SYMBOL})\b",
-        rf"(?:^|[,\s])({SYMBOL})(?=,|\s+(?:and|or)\s+{SYMBOL})", rf"\b({SYMBOL})(?=[.\s,;:!?\)]|$)",
+        ("(", rf"\(({SYMBOL})\)"), ("", rf"[:=]\s*({SYMBOL})\b"), ("%", rf"{PERCENT}\s*({SYMBOL})\b"), ("", rf"\b(?:of|for|with|containing)\s+({SYMBOL})\b"),
+        ("", rf"(?:^|[,\s]){capital}({SYMBOL})(?=,|\s+(?:and|or)\s+{SYMBOL})"), ("", rf"\b{capital}({SYMBOL})(?=[.\s,;:!?\)]|$)"),
     )
-    symbols = tuple(Rule(re.compile(p), "symbol", lambda m: m[1].lower(), lambda m: FAMILY[m[1]], 1) for p in places)
-    pure = Rule(re.compile(rf"{PERCENT}\s+({NAME}|{SYMBOL})", FLAGS), "purity_spec", lambda m: m[1].lower(), lambda m: None)
-    return (
-        (gate(FORMS), listed(FORMS, "chemical_form")),
-        (gate(TRADE), listed(TRADE, "trade_spec")),
-        (named.pattern, (named,)),
-        (re.compile(SYMBOL), (combined, *symbols)),
-        (re.compile(PERCENT), (pure,)),
-    )
+    single = [Rule(re.compile(p), stem, "symbol", lambda m: m[1].lower(), lambda m: FAMILY[m[1]], 1) for stem, p in places]
+    pure = Rule(re.compile(rf"{PERCENT}\s+({NAME}|{SYMBOL})", FLAGS), "%", "purity_spec", lambda m: m[1].lower(), lambda m: None)
+    return (combined, *single, pure)
 
 
 def find_metals(text: str | None) -> list[tuple[int, int, str, str, str | None]]:
@@ -102,15 +117,22 @@ def find_metals(text: str | None) -> list[tuple[int, int, str, str, str | None]]
 
     Of overlapping mentions the rule that comes first stays, unless a longer one follows.
     """
+    if not text:
+        return []
+    low = text.lower()
+    names = tuple(n for n in NAME_OF if n in low)
     kept: list[tuple[int, int, str, str, str | None]] = []
-    for gate, group in rules() if text else ():
-        if not gate.search(text):
+    near: dict[int, list[tuple[int, int]]] = defaultdict(list)  # kept spans by the stretches of text they touch
+    for rule in (*literal_rules(), *([name_rule(names)] if names else []), *symbol_rules()):
+        if rule.stem not in low:
             continue
-        for rule in group:
-            for m in rule.pattern.finditer(text):
-                start, stop = m.span(rule.group)
-                if not any(start < b and stop > a and b - a >= stop - start for a, b, *_ in kept):
-                    kept.append((start, stop, rule.query(m), rule.hint, rule.category(m)))
+        for m in rule.pattern.finditer(text):
+            start, stop = m.span(rule.group)
+            stretches = range(start // STRETCH, stop // STRETCH + 1)
+            if not any(start < b and stop > a and b - a >= stop - start for k in stretches for a, b in near.get(k, ())):
+                kept.append((start, stop, rule.query(m), rule.hint, rule.category(m)))
+                for k in stretches:
+                    near[k].append((start, stop))
     return sorted(kept, key=lambda k: k[0])
 
 
@@ -118,7 +140,7 @@ def document_metals(docs: DataFrame, id_col: str, text_col: str, cluster_hint: s
     """(id, query, start, stop, hint, category, cluster) of every mention; null texts have none.
 
     Some fifty patterns with a rule of overlaps go over each text; they run over Arrow
-    batches, each group of patterns behind one that tells whether any can match.
+    batches, most of them only where a literal that they need occurs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
