@@ -12,7 +12,7 @@ from kinspark.functions.aliases import parse_aliases
 from kinspark.functions.similarity import ratio_expr
 from kinspark.operators import classify, countries, dedupe, extract_companies, extract_metals, link, metals, profile, resolve
 from kinspark.plans.consolidate import consolidate, preview
-from kinspark.session import read_table
+from kinspark.session import materialize, read_table
 from kinspark.sources import exchanges, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,7 +50,7 @@ def query(sql: str | None = None):
 
 def sample_catalogue(spark: SparkSession) -> DataFrame:
     listed = [(x, samples.listings(spark, x)) for x in ("ASX", "LSE", "TSX")]
-    return consolidate([("GLEIF", samples.registry(spark)), ("Wikidata", samples.knowledge(spark)), *listed])
+    return materialize(consolidate([("GLEIF", samples.registry(spark)), ("Wikidata", samples.knowledge(spark)), *listed]), "catalogue")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
