@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinspark.llm.lookalike import LATIN_CYRILLIC, LATIN_GREEK
-from kinspark.llm.variants import one_slip, slips
+from kinspark.llm.variants import LONG, _deletions, one_slip, slips
 from kinspark.session import broadcast_if_small, materialize
 
 #: Readings of an address that the beam keeps.
@@ -155,7 +155,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([dict(zip([f for f, _ in fields], r, strict=True)) for r in rows], schema=pa.schema(fields))
 
 
-def _deletions(column: str) -> str:
+def _deletions_sql(column: str) -> str:
     return f"array_distinct(concat(array({column}), transform(sequence(1, length({column})), i -> concat(substring({column}, 1, i - 1), substring({column}, i + 1)))))"
 
 
@@ -164,7 +164,7 @@ def _best_one_slip(counted: DataFrame, scope: list[str], name: str, ratio: int)
 
     Where that one outweighs it ``ratio`` times; ties go to the smaller spelling.
     """
-    keyed = counted.select(*scope, name, "support", F.explode(F.expr(_deletions(name))).alias("v")).withColumn("key", F.xxhash64(*scope, "v")).drop("v")
+    keyed = counted.select(*scope, name, "support", F.explode(F.expr(_deletions_sql(name))).alias("v")).withColumn("key", F.xxhash64(*scope, "v")).drop("v")
     rank = lambda n: F.struct("support", F.col(n).alias("n"))
     best = keyed.groupBy("key").agg(F.max(rank(name)).alias("best"))
     near = keyed.join(best, "key").filter((F.col("best.support") >= F.col("support") * ratio) & (F.col("best") > rank(name)) & one_slip(F.col(name), F.col("best.n")))
@@ -204,8 +204,8 @@ def _better_of_block(rows: list[tuple[int, str, int, int]]) -> Iterator[tuple[in
     index: dict[str, list[tuple]] = {}
     for row in sorted(set(rows), key=lambda r: (-r[2], r[1])):
         form, name, _, most = row
-        entries = {name, *(name[:i] + name[i + 1 :] for i in range(len(name)))}
-        if most > 1:
+        entries = _deletions(name)
+        if most > 1 or len(name) > LONG:
             entries |= {"^" + name[:4], "$" + name[-4:]}
         met = {other for e in entries for other in index.get(e, ())}
         near = [(slips(name, other[1], most), -other[2], other[1], other[0]) for other in met if other[0] != form]

@@ -42,6 +42,8 @@ from kinspark.session import materialize
 END = 3
 #: Letters that an abbreviated word keeps at least.
 SHORT = 4
+#: Letters beyond which a word's deletions are not listed, and a whole is not taken for two words.
+LONG, LONGEST_CUT = 64, 200
 
 
 def one_slip(a: Column, b: Column) -> Column:
@@ -75,6 +77,8 @@ def slips(a: str, b: str, most: int) -> int:
             if i > 1 and j > 1 and p == b[j - 2] and a[i - 2] == q:
                 cost = min(cost, older[j - 2] + 1)
             row.append(cost)
+        if min(row) > most and min(before) > most:
+            return most + 1
     return min(row[-1], most + 1)
 
 
@@ -122,10 +126,10 @@ def pairs_of_words(spelled: DataFrame) -> DataFrame:
 
 
 def cuts(spelled: DataFrame, two: DataFrame) -> DataFrame:
-    """(a, b): forms of one, three or more words and the forms of two words they may be."""
+    """(a, b): forms of one, three or more words and the forms of two words they may be, up to LONGEST_CUT letters."""
     odd = spelled.filter("n <> 2").select("form", base_of().alias("base"), "whole").distinct()
     places = F.sequence(F.lit(END), F.length("whole") - END)
-    at = odd.filter(F.length("whole") >= 2 * END).select("form", "base", "whole", F.explode(places).alias("i"))
+    at = odd.filter(F.length("whole").between(2 * END, LONGEST_CUT)).select("form", "base", "whole", F.explode(places).alias("i"))
     left, right = F.expr("substring(whole, 1, i)"), F.expr("substring(whole, i + 1)")
     guessed = at.select(F.col("form").alias("a"), F.xxhash64("base", F.least(F.concat(left, right), F.concat(right, left))).alias("key"))
     plain = two.filter("plain").select(F.col("form").alias("b"), F.xxhash64("base", F.concat("x", "y")).alias("key"))
@@ -144,7 +148,8 @@ def together(spelled: DataFrame) -> DataFrame:
 
 
 def _deletions(word: str) -> set[str]:
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+    """The word with no or one letter deleted; of very long words itself, as their ends are entered too and one is whole."""
+    return {word} if len(word) > LONG else {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
 def _pairs_of_block(rows: list[tuple]) -> Iterator[tuple[int, int]]:

@@ -77,6 +77,15 @@ def test_hot_name(companies, country_aliases):
     assert got == sum(names[i] != names[j] for i in range(200) for j in range(i + 1, 200))
 
 
+def test_very_long_texts(companies, country_aliases):
+    word = "kelvaro" * 300
+    rows = [{"rec_id": 1, "name": f"{word} Mitusa Mining", "country": "US", "source": "ASX"}, {"rec_id": 2, "name": f"{word}x Mitusa Mining", "country": "US", "source": "LSE"}, {"rec_id": 3, "name": word * 3, "country": "US", "address": word + " Street 5", "city": word}]
+    df = companies(*rows)
+    assert [tuple(r) for r in variant_pairs(df, country_aliases).collect()] == [(1, 2)]
+    assert [tuple(r)[:2] for r in match_sources(df, country_aliases).collect()] == [(1, 2)]
+    assert same_places(df).count() == 0
+
+
 def test_readings():
     street = {
         "360 VIHELFEN PKY": ("360", "", "pw", "vihelfen"), "Piso 9, C/ Mamivo, 86": ("86", "", "ca", "mamivo"), "E. Zanmalo Parkway 181": ("181", "e", "pw", "zanmalo"),
