@@ -17,7 +17,8 @@ forms carry the same usable LEI or QID, or different ones of both kinds known. I
 smoothed as (right + 1) / (known + 2); a rule under ``least`` is dropped. The
 confidence of a match is the lowest precision on its way.
 
-Scale: support and the best form of a key are partial aggregates, so a name borne by
+Scale: tables with one row a form are the hashed side of joins, so the wide side needs
+no sort; support and the best form of a key are partial aggregates, so a name borne by
 a third of all rows is one form with a count; nothing is gathered per key.
 
 Defined results: records without a usable name or source match nothing; sources are
@@ -71,9 +72,9 @@ def cascade(spelled: DataFrame) -> DataFrame:
     # a form without a country or only of aliases never leads another: it could not join further
     counted = spelled.groupBy("form").agg(F.count_if((F.col("country") != "") & (F.col("kind") < 2)).alias("support"))
     counted = materialize(counted.select("form", _rank("form").alias("rank")), "support")
-    two = materialize(pairs_of_words(spelled).join(counted, "form"), "ranked")
+    two = materialize(pairs_of_words(spelled).join(counted.hint("shuffle_hash"), "form"), "ranked")
     edges = together(spelled).unionByName(countries_of_lost(spelled)).unionByName(cuts(spelled, two))
-    ranked = lambda k: counted.select(F.col("form").alias(k), F.col("rank").alias(f"rank_{k}"))
+    ranked = lambda k: counted.select(F.col("form").alias(k), F.col("rank").alias(f"rank_{k}")).hint("shuffle_hash")
     both = edges.join(ranked("a"), "a").join(ranked("b"), "b")
     higher = F.col("rank_b") > F.col("rank_a")
     pick = lambda x, y: F.when(higher, F.col(x)).otherwise(F.col(y))
@@ -83,7 +84,7 @@ def cascade(spelled: DataFrame) -> DataFrame:
         resolved = reduce(DataFrame.unionByName, found).select("form")
         keyed = two.filter(condition).select("form", "rank", F.explode(F.array(*keys)).alias("key"))
         best = keyed.groupBy("key").agg(F.max_by("form", "rank").alias("up"), F.max("rank").alias("top"), F.min("rank").alias("low")).filter("low < top")
-        left = two.filter(condition).join(resolved, "form", "left_anti").select("form", "rank", F.explode(F.array(*keys)).alias("key"))
+        left = two.filter(condition).join(resolved.hint("shuffle_hash"), "form", "left_anti").select("form", "rank", F.explode(F.array(*keys)).alias("key"))
         joined = left.join(best.hint("shuffle_hash"), "key").filter("top > rank")
         found.append(materialize(joined.groupBy("form").agg(F.max_by("up", "top").alias("parent")).select("form", "parent", F.lit(rule).alias("rule")), f"pass{rule}"))
     return reduce(DataFrame.unionByName, found)
@@ -92,7 +93,7 @@ def cascade(spelled: DataFrame) -> DataFrame:
 def rule_precision(links: DataFrame, labels: DataFrame) -> dict[int, float]:
     """rule -> smoothed share of its joins whose known identifiers agree; one row a rule."""
     side = lambda k: labels.select(F.col("form").alias(k), F.col("lei").alias(f"lei_{k}"), F.col("qid").alias(f"qid_{k}"))
-    both = links.join(side("form"), "form").join(side("parent"), "parent")
+    both = links.join(side("form").hint("shuffle_hash"), "form").join(side("parent").hint("shuffle_hash"), "parent")
     right = F.coalesce(F.col("lei_form") == F.col("lei_parent"), F.lit(False)) | F.coalesce(F.col("qid_form") == F.col("qid_parent"), F.lit(False))
     wrong = ~right & (F.col("lei_form") != F.col("lei_parent")) & (F.col("qid_form") != F.col("qid_parent"))
     counted = both.groupBy("rule").agg(F.count_if(right).alias("r"), F.count_if(F.coalesce(wrong, F.lit(False))).alias("w")).collect()
@@ -128,10 +129,10 @@ def match_sources(companies: DataFrame, country_aliases: DataFrame, least: float
     precision = rule_precision(links, labels)
     confidence = F.element_at(F.create_map(*[F.lit(x) for pair in precision.items() for x in pair]), F.col("rule"))
     kept = links.withColumn("confidence", confidence).filter(F.col("confidence") >= least)
-    found = facts.filter("source IS NOT NULL").join(roots(kept), "form", "left")
+    found = facts.filter("source IS NOT NULL").join(roots(kept).hint("shuffle_hash"), "form", "left")
     rows = found.select("rec_id", "source", "lei", "qid", F.coalesce("root", "form").alias("root"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
     several = rows.groupBy("root").agg(F.min("source").alias("low"), F.max("source").alias("high")).filter("low < high").select("root")
-    rows = materialize(rows.join(several, "root", "left_semi"), "placed")
+    rows = materialize(rows.join(several.hint("shuffle_hash"), "root", "left_semi"), "placed")
     a = rows.select("root", *[F.col(c).alias(f"{c}_a") for c in ("rec_id", "source", "lei", "qid", "confidence")])
     b = rows.select("root", *[F.col(c).alias(f"{c}_b") for c in ("rec_id", "source", "lei", "qid", "confidence")])
     apart = "rec_id_a < rec_id_b AND source_a <> source_b AND NOT coalesce(lei_a = lei_b, false) AND NOT coalesce(qid_a = qid_b, false)"
