@@ -16,8 +16,10 @@ two of them and both to drop an outer one.
 Spellings of one record belong together. Linked forms make companies by Boruvka
 consolidation.
 
-Scale: a hot name is one form however many records bear it; an index entry is linked
-in a line and a star, never as all pairs. Numbers and countries must agree, so sisters and namesakes stay apart.
+Scale: a hot name is one form however many records bear it. Forms of an index entry are
+compared until they are connected: under a deletion of a word, at most a letter a place
+differs, and entries of many forms with different other words are parted by these.
+Numbers and countries must agree, so sisters and namesakes stay apart.
 
 Defined results: records without a usable spelling match nothing; a record whose
 country is unknown and cannot be told from its city belongs to the country that all
@@ -44,6 +46,8 @@ END = 3
 SHORT = 4
 #: Letters beyond which a word's deletions are not listed, and a whole is not taken for two words.
 LONG, LONGEST_CUT = 64, 200
+#: Rows of an index entry beyond which it is parted by the other word.
+MANY = 32
 
 
 def one_slip(a: Column, b: Column) -> Column:
@@ -152,25 +156,81 @@ def _deletions(word: str) -> set[str]:
     return {word} if len(word) > LONG else {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
+def _entries(word: str, ends: bool) -> set:
+    """What a word is entered under: its deletions and, where wanted or the word is too long for them, its ends."""
+    return _deletions(word) | ({("short", word[:SHORT]), ("end", word[-SHORT:])} if ends or len(word) > LONG else set())
+
+
 def _pairs_of_block(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-    """Aligned pairs among the rows (form, word, x, y, trade) of a block that meet under a deletion."""
+    """Aligned pairs among the rows (form, word, x, y, trade) of a block that connect all rows which are aligned and meet under an entry.
+
+    An entry keeps its rows in groups that are connected already. A row is compared with
+    every group until one of the group's rows is aligned with it. Where the other words of
+    a block differ, only slips in both words are sought, and an entry of more than MANY
+    rows is parted by the entries of the other word.
+    """
+    others = [y if word == x else x for _, word, x, y, _ in rows]
+    several = len(set(others)) > 1
     index: dict = {}
-    tried = set()
-    for row in rows:
-        form, word = row[0], row[1]
-        entries = _deletions(word)
-        entries |= {("short", word[:SHORT]), ("end", word[-SHORT:])}
-        for entry in entries:
-            met = index.get(entry)
-            if met is None:
-                index[entry] = (row, row)
+    parted: set = set()
+    first: dict = {}
+    root = list(range(len(rows)))
+    apart = set()
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    def fits(i: int, j: int) -> bool:
+        if (i, j) in apart:
+            return False
+        p, q = rows[i], rows[j]
+        if p[0] == q[0] or aligned(p[2], p[3], q[2], q[3], p[4] != 0 and p[4] == q[4]):
+            return True
+        apart.add((i, j))
+        return False
+
+    def met(i: int, entry) -> list[tuple[int, int]]:
+        groups, own, rest, found = index.get(entry), None, [], []
+        if groups is None:
+            index[entry] = [[i]]
+            return found
+        for group in groups:
+            if top(group[0]) != top(i):
+                j = next((j for j in group if fits(i, j)), None)
+                if j is None:
+                    rest.append(group)
+                    continue
+                root[top(i)] = top(j)
+                if rows[i][0] != rows[j][0]:
+                    found.append((rows[i][0], rows[j][0]))
+            if own is None:
+                own = group
+                own.append(i)
+            else:
+                own.extend(group)
+        index[entry] = [own or [i], *rest]
+        return found
+
+    for i, (form, word, x, y, trade) in enumerate(rows):
+        same = first.setdefault((x, y, trade), i)
+        if same != i:  # another form of the same words and trade
+            if form != rows[same][0]:
+                yield form, rows[same][0]
+            root[top(i)] = top(same)
+            continue
+        for entry in _entries(word, not several):
+            if entry in parted:
+                for end in _entries(others[i], False):
+                    yield from met(i, (entry, end))
                 continue
-            index[entry] = (met[0], row)
-            for other in met if met[0] is not met[1] else met[:1]:
-                if form != other[0] and (form, other[0]) not in tried:
-                    tried.add((form, other[0]))
-                    if aligned(row[2], row[3], other[2], other[3], row[4] != 0 and row[4] == other[4]):
-                        yield form, other[0]
+            yield from met(i, entry)
+            if several and sum(map(len, index[entry])) > MANY:
+                parted.add(entry)
+                for j in sorted(j for group in index.pop(entry) for j in group):
+                    for end in _entries(others[j], False):
+                        yield from met(j, (entry, end))
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +266,7 @@ def links(two: DataFrame) -> DataFrame:
 
     The symmetric-delete index is kept by block: the forms that share a word, and those
     that share the trade and an end of a word. A block's index maps every deletion of
-    the other word to the first and the last form that had it, so work and memory are
-    linear in the forms of a block.
+    the other word to all forms that have it, in groups that are connected already.
     """
     base = F.col("base")
     start, end = F.substring("y", 1, SHORT), F.right("y", F.lit(SHORT))

@@ -1,7 +1,7 @@
 from kinspark.llm.addresses import place_of_records, readings, same_places
 from kinspark.llm.match import match_sources
 from kinspark.llm.names import take_apart
-from kinspark.llm.variants import abbreviates, aligned, slips, variant_pairs
+from kinspark.llm.variants import _entries, _pairs_of_block, abbreviates, aligned, slips, variant_pairs
 
 LEI = "5493001KJTIIGC8Y1R12"
 
@@ -112,3 +112,33 @@ def test_places(companies):
     assert got == {(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)}
     assert same_places(companies(*here).limit(0)).count() == 0
     assert place_of_records(companies(*here)).count() == 7
+
+
+def test_all_forms_of_an_entry_are_compared(companies, country_aliases):
+    words = ["Velmont", "Vellmora", "Velmora", "Velmorra", "Velmorax"]  # one slip around the third, in any order of arrival
+    names = [f"{w} Mitusa {t}" for w, t in zip(words, ("Mining", "Steel", "Copper", "Gold", "Energy"), strict=True)]
+    got = {(r["rec_id_a"], r["rec_id_b"]) for r in variant_pairs(companies(*({"rec_id": i, "name": n, "country": "US"} for i, n in enumerate(names))), country_aliases).collect()}
+    assert got == {(a, b) for a in (1, 2, 3, 4) for b in (1, 2, 3, 4) if a < b}
+
+
+def test_blocks_against_all_pairs():
+    import random
+
+    r = random.Random(3)
+    for n in (5, 60, 300):
+        for other in (["mitusa"], ["mitusa", "mitusas", "mitsa", "sotulu"]):
+            words = ["velmora"] + ["".join(w[:i] + r.choice(["", c, c + w[i]]) + w[i + 1 :]) for w in r.choices(["velmora", "kelvaro"], k=n) for i, c in [(r.randrange(7), r.choice("abz"))]]
+            rows = [(i, w, w, r.choice(other), 1 if len(other) > 1 else r.choice([0, 1, 2])) for i, w in enumerate(words)]
+            r.shuffle(rows)
+
+            root = {row[0]: row[0] for row in rows}
+            at = {row[0]: row for row in rows}
+            fits = lambda p, q: aligned(*p[2:4], *q[2:4], p[4] != 0 and p[4] == q[4])
+            for a, b in _pairs_of_block(rows):
+                assert fits(at[a], at[b])
+                old, new = root[a], root[b]
+                root = {k: new if v == old else v for k, v in root.items()}
+            for p in rows:
+                for q in rows:
+                    meet = bool(_entries(p[1], True) & _entries(q[1], True)) if len(other) == 1 else slips(p[1], q[1], 1) <= 1 and slips(p[3], q[3], 1) <= 1
+                    assert root[p[0]] == root[q[0]] or not (meet and fits(p, q)), (p, q)
