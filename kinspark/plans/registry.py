@@ -13,7 +13,7 @@ from kinspark.functions.similarity import ratio_expr
 from kinspark.operators import classify, countries, dedupe, extract_companies, extract_metals, link, metals, profile, resolve
 from kinspark.plans.consolidate import consolidate, preview
 from kinspark.session import materialize, read_table
-from kinspark.sources import exchanges, samples
+from kinspark.sources import exchanges, inventory, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,17 +60,33 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", F.col("q_name").alias("asked"), F.col("name").alias("best"), F.round("score", 6).alias("score"), F.round("gap", 6).alias("gap"), resolve.decision(F.col("score"), F.col("gap")).alias("decision"))
 
 
+def full_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue of all three raw sources, written."""
+    return materialize(consolidate_sources(spark, sf_dir), "catalogue")
+
+
+def resolved(asked: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """query_id, asked, best, score, gap, decision of every asked name; without a best entry where the normal name is empty."""
+    asked = materialize(asked, "asked")
+    best = resolve.ranked_matches(asked.filter(n.normalize_company_name(F.col("name")) != ""), catalogue, 2).filter("rank = 1")
+    best = best.select("query_id", F.col("name").alias("best"), "score", "gap")
+    every = asked.select("query_id", F.col("name").alias("asked")).join(best, "query_id", "left")
+    rounded = [F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("score", "gap")]
+    return every.select("query_id", "asked", "best", *rounded, resolve.decision(F.when(F.col("best").isNotNull(), F.col("score")), F.col("gap")).alias("decision"))
+
+
 @query()
 def resolve_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flagship(spark, sf_dir)
+    """Every distinct name and country of the knowledge base against the catalogue of all sources."""
+    names = read_table(spark, sf_dir, "wikidata_companies").select("name", F.nullif("country", F.lit("")).alias("country")).distinct().filter("name IS NOT NULL")
+    return resolved(names.select(F.xxhash64("name", "country").alias("query_id"), "name", "country"), full_catalogue(spark, sf_dir))
 
 
 @query()
 def resolve_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct name of the knowledge base against the sample catalogue, without the fallback."""
-    names = read_table(spark, sf_dir, "wikidata_companies").select("name").distinct().filter("name IS NOT NULL")
-    asked = names.select(F.xxhash64("name").alias("query_id"), "name", F.lit(None).cast("string").alias("country"))
-    return resolve.ranked_matches(asked, sample_catalogue(spark), 1, fallback=False).select("query_id", "name", "score")
+    """Every distinct listed name against the catalogue of all sources; the country of a listing is its exchange's and not asked for."""
+    names = read_table(spark, sf_dir, "exchange_listings").select("name").distinct().filter("name IS NOT NULL")
+    return resolved(names.select(F.xxhash64("name").alias("query_id"), "name", F.lit(None).cast("string").alias("country")), full_catalogue(spark, sf_dir))
 
 
 LEGAL = n.LEGAL_SUFFIXES.replace("'", "''")
@@ -307,22 +323,27 @@ def consolidate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate([("GLEIF", read_table(spark, sf_dir, "gleif_records")), ("Wikidata", read_table(spark, sf_dir, "wikidata_companies")), *by_exchange])
 
 
+def asked_metals(spark: SparkSession, more: list[str]) -> DataFrame:
+    """query_id, name: every name, symbol and alias of the inventory, and more."""
+    names = dict.fromkeys(x for m in inventory.METALS for x in (m[0], m[1], *m[-1]) if x)
+    return spark.createDataFrame(list(enumerate(dict.fromkeys([*more, *names]))), "query_id long, name string")
+
+
 @query()
 def resolve_metals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["Pt", "Cu", "moly", "lithium:carbonate", "neodymium praseodymium", "graphite", "unobtainium"]
-    asked = spark.createDataFrame(list(enumerate(names)), "query_id long, name string")
-    return metals.resolve_metals(asked, metals.build_metals(samples.metals(spark))).select("query_id", "asked", "name", F.round("score", 6).alias("score"))
+    asked = asked_metals(spark, ["Pt", "Cu", "moly", "lithium:carbonate", "neodymium praseodymium", "graphite", "unobtainium"])
+    return metals.resolve_metals(asked, metals.build_metals(inventory.metals(spark))).select("query_id", "asked", "name", F.round("score", 6).alias("score"))
 
 
 @query()
 def top_metals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(0, "graphite"), (1, "lithium carbonates"), (2, "cobalt")], "query_id long, name string")
-    return metals.top_metals(asked, metals.build_metals(samples.metals(spark)), 5).select("query_id", "rank", "name", F.round("score", 6).alias("score"))
+    asked = asked_metals(spark, ["graphite", "lithium carbonates", "cobalt"])
+    return metals.top_metals(asked, metals.build_metals(inventory.metals(spark)), 5).select("query_id", "rank", "name", F.round("score", 6).alias("score"))
 
 
 @query()
 def validate_metals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = metals.build_metals(samples.metals(spark))
+    built = metals.build_metals(inventory.metals(spark))
     return profile.validate_metals(built, built.select("cluster_id").distinct().filter("cluster_id <> 'pgm_complex'"), ["name", "formula"])
 
 

@@ -44,3 +44,18 @@ def test_core_query_runs(spark, sf, name):
 def test_the_core_stands_alone():
     code = "import sys; sys.modules['kinspark.llm'] = None; import __spark_entry__ as e; assert e.queries() and not [q for q in e.queries() if q[0] == 'p' and q[1].isdigit()]"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_names_of_the_tables_are_resolved(spark, sf, db):
+    asked = {r[0] for r in db.execute("SELECT DISTINCT name FROM exchange_listings WHERE name IS NOT NULL").fetchall()}
+    got = entry.queries()["resolve_listings"](spark, sf).collect()
+    assert len(got) == len(asked) and {r["asked"] for r in got} == asked
+    assert sum(r["score"] >= 90 for r in got) > 0.9 * len(got)
+
+
+def test_all_metals_are_resolved(spark, sf):
+    from kinspark.sources.inventory import METALS
+
+    assert len(METALS) == 50
+    got = {r["asked"]: r["name"] for r in entry.queries()["resolve_metals"](spark, sf).collect()}
+    assert all(got[m[0]] == m[0] for m in METALS)
