@@ -7,10 +7,12 @@ cascade runs over ever weaker combinations of attributes, each an exact join:
  2. country, number, trade, one word and an end of the other word,
  3. the same without the trade,
  4. country, number, trade and an end of each word.
-In each pass, every form not yet resolved joins the best supported form (most
-records under it, then the greater hash) that shares a key and is better supported than
-itself; the forms resolved so far are kept out by an anti join. As support only
-rises along the joins, they make trees, which pointer doubling collapses.
+The first pass makes components, as all its edges are certain; its best supported form
+(most records under it, then the greater hash) stands for a component. In each later
+pass, every component not yet resolved joins the best supported one that shares a key
+and is better supported than itself; those resolved so far are kept out by an anti
+join. As support only rises along the joins, they make trees, which pointer doubling
+collapses.
 
 Each rule's precision is estimated on its own joins where identifiers tell: both
 forms carry the same usable LEI or QID, or different ones of both kinds known. It is
@@ -34,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinspark.functions.identifiers import source_key, with_usable_ids
+from kinspark.llm.consolidate import components
 from kinspark.llm.names import countries_of_lost, spellings
 from kinspark.llm.variants import END, SHORT, cuts, pairs_of_words, together
 from kinspark.session import materialize
@@ -74,17 +77,22 @@ def cascade(spelled: DataFrame) -> DataFrame:
     counted = materialize(counted.select("form", _rank("form").alias("rank")), "support")
     two = materialize(pairs_of_words(spelled).join(counted.hint("shuffle_hash"), "form"), "ranked")
     edges = together(spelled).unionByName(countries_of_lost(spelled)).unionByName(cuts(spelled, two))
-    ranked = lambda k: counted.select(F.col("form").alias(k), F.col("rank").alias(f"rank_{k}")).hint("shuffle_hash")
-    both = edges.join(ranked("a"), "a").join(ranked("b"), "b")
-    higher = F.col("rank_b") > F.col("rank_a")
-    pick = lambda x, y: F.when(higher, F.col(x)).otherwise(F.col(y))
-    offered = both.select(pick("a", "b").alias("form"), pick("b", "a").alias("up"), F.greatest("rank_a", "rank_b").alias("rank"))
-    found = [materialize(offered.groupBy("form").agg(F.max_by("up", "rank").alias("parent")).select("form", "parent", F.lit(1).alias("rule")), "pass1")]
+    labels = components(edges).withColumnsRenamed({"vertex": "form", "component": "whole"})
+    ranked = materialize(labels.join(counted.hint("shuffle_hash"), "form"), "members")
+    # the best supported form of a component stands for all of it
+    leads = ranked.groupBy("whole").agg(F.max_by("form", "rank").alias("lead"), F.max("rank").alias("top"))
+    led = materialize(ranked.join(leads.hint("shuffle_hash"), "whole").select("form", "lead", "top"), "led")
+    found = [led.filter("form <> lead").select("form", F.col("lead").alias("parent"), F.lit(1).alias("rule"))]
+    units = two.join(led.hint("shuffle_hash"), "form", "left").withColumns({"form": F.coalesce("lead", "form"), "rank": F.coalesce("top", "rank")})
+    two = materialize(units.drop("lead", "top"), "units")
     for rule, (condition, keys) in key_rules().items():
-        resolved = reduce(DataFrame.unionByName, found).select("form")
         keyed = two.filter(condition).select("form", "rank", F.explode(F.array(*keys)).alias("key"))
         best = keyed.groupBy("key").agg(F.max_by("form", "rank").alias("up"), F.max("rank").alias("top"), F.min("rank").alias("low")).filter("low < top")
-        left = two.filter(condition).join(resolved.hint("shuffle_hash"), "form", "left_anti").select("form", "rank", F.explode(F.array(*keys)).alias("key"))
+        left = two.filter(condition)
+        if len(found) > 1:
+            resolved = reduce(DataFrame.unionByName, found[1:]).select("form")
+            left = left.join(resolved.hint("shuffle_hash"), "form", "left_anti")
+        left = left.select("form", "rank", F.explode(F.array(*keys)).alias("key"))
         joined = left.join(best.hint("shuffle_hash"), "key").filter("top > rank")
         found.append(materialize(joined.groupBy("form").agg(F.max_by("up", "top").alias("parent")).select("form", "parent", F.lit(rule).alias("rule")), f"pass{rule}"))
     return reduce(DataFrame.unionByName, found)

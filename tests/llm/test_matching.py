@@ -142,3 +142,13 @@ def test_blocks_against_all_pairs():
                 for q in rows:
                     meet = bool(_entries(p[1], True) & _entries(q[1], True)) if len(other) == 1 else slips(p[1], q[1], 1) <= 1 and slips(p[3], q[3], 1) <= 1
                     assert root[p[0]] == root[q[0]] or not (meet and fits(p, q)), (p, q)
+
+
+def test_all_spellings_of_a_record_tie_sources(companies, country_aliases):
+    rows = [
+        {"rec_id": 1, "name": "Kelvaro Mitusa Inc.", "name_norm": "sotulu wapobe", "aliases": "['Delkello Vihelfen']", "country": "US", "source": "ASX"},
+        *({"rec_id": i, "name": "Sotulu Wapobe Inc.", "country": "US", "source": "LSE"} for i in (2, 3)),
+        *({"rec_id": i, "name": "Delkello Vihelfen Inc.", "country": "US", "source": "TSX"} for i in (4, 5, 6)),
+    ]
+    got = {(r["rec_id_a"], r["rec_id_b"]) for r in match_sources(companies(*rows), country_aliases).collect()}
+    assert got == {(a, b) for a in range(1, 7) for b in range(a + 1, 7) if rows[a - 1]["source"] != rows[b - 1]["source"]}
