@@ -83,6 +83,16 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def hash_small_partitions(spark: SparkSession, size: str = "64MB") -> None:
+    """Lets adaptive execution hash a side of a join instead of sorting both, where each of its partitions is at most ``size``.
+
+    Partitions beyond that are sorted, and may spill. A session's own setting is kept.
+    """
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    if spark.conf.get(key, "0b") in ("0", "0b"):
+        spark.conf.set(key, size)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``df``, a written narrow table, marked for broadcast if it has at most ``limit`` rows; beyond, joins shuffle it."""
     return F.broadcast(df) if df.count() <= limit else df
