@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinspark.llm.lookalike import LATIN_CYRILLIC, LATIN_GREEK
-from kinspark.llm.variants import LONG, _deletions, one_slip, slips
+from kinspark.llm.edits import deletions_of, one_slip, slips
+from kinspark.llm.variants import LONG
 from kinspark.session import broadcast_if_small, materialize
 
 #: Readings of an address that the beam keeps.
@@ -204,7 +205,7 @@ def _better_of_block(rows: list[tuple[int, str, int, int]]) -> Iterator[tuple[in
     index: dict[str, list[tuple]] = {}
     for row in sorted(set(rows), key=lambda r: (-r[2], r[1])):
         form, name, _, most = row
-        entries = _deletions(name)
+        entries = {name} if len(name) > LONG else deletions_of(name)
         if most > 1 or len(name) > LONG:
             entries |= {"^" + name[:4], "$" + name[-4:]}
         met = {other for e in entries for other in index.get(e, ())}

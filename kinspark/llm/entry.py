@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from kinspark.llm.addresses import same_places
 from kinspark.llm.consolidate import tied_groups
 from kinspark.llm.lookalike import consistent_forms
-from kinspark.llm.match import match_sources
+from kinspark.llm.match import match_sources, source_members
 from kinspark.llm.packing import fill_containers
 from kinspark.llm.quality import documents_by_type
 from kinspark.llm.survivor import company_survivors
 from kinspark.llm.tokens import count_tokens, decode_corpus, encode_corpus
-from kinspark.llm.variants import variant_pairs
+from kinspark.llm.variants import variant_members, variant_pairs
 from kinspark.session import materialize, read_table
 
 
@@ -102,7 +102,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(read_table(spark, sf_dir, "companies_filtered"), read_table(spark, sf_dir, "country_aliases"))
 
 
-QUERIES |= {"p5_found": p5_found}
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_id, company, links: every record under its company, with the number of its links."""
+    return variant_members(read_table(spark, sf_dir, "companies_filtered"), read_table(spark, sf_dir, "country_aliases"))
+
+
+QUERIES |= {"p5_found": p5_found, "p5_members": p5_members}
 
 
 def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +120,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_matches(spark, sf_dir).select("rec_id_a", "rec_id_b")
 
 
-QUERIES |= {"p3_found": p3_found, "p3_matches": p3_matches}
+def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_id, company, confidence, sources: every record under its company, with the number of sources that have it."""
+    return source_members(read_table(spark, sf_dir, "companies_filtered"), read_table(spark, sf_dir, "country_aliases"))
+
+
+QUERIES |= {"p3_found": p3_found, "p3_matches": p3_matches, "p3_members": p3_members}
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,27 +1,32 @@
 """Matching company records across sources without keys, by a deterministic rule cascade.
 
-Records are reduced to the forms of their names (country, number, core words). The
+Records are reduced to the forms of their names (country, numbers, core words). The
 cascade runs over ever weaker combinations of attributes, each an exact join:
+ 0. the form itself,
  1. spellings of one record (its name, stored normal form and aliases), and words
     parted or joined differently,
- 2. country, number, trade, one word and an end of the other word,
- 3. the same without the trade,
- 4. country, number, trade and an end of each word.
-The first pass makes components, as all its edges are certain; its best supported form
-(most records under it, then the greater hash) stands for a component. In each later
-pass, every component not yet resolved joins the best supported one that shares a key
-and is better supported than itself; those resolved so far are kept out by an anti
-join. As support only rises along the joins, they make trees, which pointer doubling
-collapses.
-
-Each rule's precision is estimated on its own joins where identifiers tell: both
-forms carry the same usable LEI or QID, or different ones of both kinds known. It is
-smoothed as (right + 1) / (known + 2); a rule under ``least`` is dropped. The
-confidence of a match is the lowest precision on its way.
-
-Scale: tables with one row a form are the hashed side of joins, so the wide side needs
-no sort; support and the best form of a key are partial aggregates, so a name borne by
-a third of all rows is one form with a count; nothing is gathered per key.
+ 2. country, numbers, trade, all core words but one and an end of that; of a name of
+    one word, the word with a letter deleted,
+ 3. as 2 without the trade,
+ 4. country, numbers, trade, an end of one word and an end of the other (both ends, if
+    there are several others).
+Names may have any number of core words. Pass 1 makes components, as all its edges are
+certain; its best supported form (most records under it, then the greater hash) stands
+for a component. In each later pass, every component not yet resolved joins the best
+supported one that shares a key and is better supported than itself; those resolved so
+far are kept out by an anti join. As support only rises along the joins, they make trees,
+which pointer doubling collapses.
+
+Each rule's precision is estimated where identifiers tell: both forms of a join carry
+usable LEIs, or usable QIDs; it is right if one agrees and wrong if none does. Rule 0 is
+judged by the forms with two or more known identifiers of a kind, right if they are one.
+It is smoothed as (right + 1) / (known + 2); a rule under ``least`` is dropped. As a
+company may hold several identifiers, these figures are lower bounds. The confidence of a
+match is the lowest precision on its way.
+
+Scale: support and the best form of a key are partial aggregates, so a name borne by
+a third of all rows is one form with a count; nothing is gathered per key. Adaptive
+execution hashes joins only where their partitions are small.
 
 Defined results: records without a usable name or source match nothing; sources are
 compared without case and outer blanks; repeated rows of one source don't match each
@@ -30,6 +35,7 @@ other; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,8 +44,8 @@ from pyspark.sql import functions as F
 from kinspark.functions.identifiers import source_key, with_usable_ids
 from kinspark.llm.consolidate import components
 from kinspark.llm.names import countries_of_lost, spellings
-from kinspark.llm.variants import END, SHORT, cuts, pairs_of_words, together
-from kinspark.session import materialize
+from kinspark.llm.variants import END, SHORT, SINGLE, cuts, pairs_of_words, together
+from kinspark.session import hash_small_partitions, materialize, release
 
 MAX_DEPTH = 32
 
@@ -53,18 +59,25 @@ def _key(rule: int, *parts: Column | str) -> Column:
 
 
 def key_rules() -> dict[int, tuple[Column, list[Column]]]:
-    """rule -> (condition, keys) over forms of two words."""
-    word_and_end = [(w, e, i) for w, o in (("x", "y"), ("y", "x")) for i, e in enumerate(_ends(o, END))]
+    """rule -> (condition, keys) over rows of two parts; keys that don't apply are null."""
+    several, both, traded = F.col("y") != "", F.col("both"), F.col("trade") != 0
+    sides = [("y", "x", several, 0), ("x", "y", both, 2)]
+    ends = [(w, e, i + k, when) for w, o, when, k in sides for i, e in enumerate(_ends(o, END))]
     two_ends = [(a, b, i, j) for i, a in enumerate(_ends("x", SHORT)) for j, b in enumerate(_ends("y", SHORT))]
-    traded = F.col("trade") != 0
-    side = {"x": F.lit(0), "y": F.lit(2)}
     return {
-        2: (traded, [_key(2, F.lit(i) + side[w], w, e, "trade") for w, e, i in word_and_end]),
-        3: (F.lit(True), [_key(3, F.lit(i) + side[w], w, e) for w, e, i in word_and_end]),
-        4: (traded, [_key(4, F.lit(2 * i + j), a, b, "trade") for a, b, i, j in two_ends]),
+        2: (traded & several, [F.when(when, _key(2, F.lit(i), w, e, "trade")) for w, e, i, when in ends]),
+        3: (several, [F.when(when, _key(3, F.lit(i), w, e)) for w, e, i, when in ends]),
+        # of more than two words, y is several: both its ends must agree
+        4: (traded & several, [F.when(both, _key(4, F.lit(2 * i + j), a, b, "trade")).when(F.lit(j == 0), _key(4, F.lit(4 + i), a, *_ends("y", SHORT), "trade")) for a, b, i, j in two_ends]),
     }
 
 
+def single_keys(two: DataFrame) -> DataFrame:
+    """(form, rank, key): the keys of rule 2 of names of one word, all ways to leave out a letter of it."""
+    less = F.expr("explode(concat(array(x), transform(sequence(1, length(x)), i -> concat(substring(x, 1, i - 1), substring(x, i + 1)))))")
+    return two.filter((F.col("y") == "") & (F.length("x") >= SINGLE)).select("form", "rank", "base", "trade", less.alias("part")).select("form", "rank", _key(2, F.lit(-1), "part", "trade").alias("key"))
+
+
 def _rank(form: str) -> Column:
     """A number that orders forms by support, then by hash; long, so that its maximum is kept in a hash aggregate."""
     return F.shiftleft(F.least("support", F.lit(2**20 - 1)).cast("long"), 42).bitwiseOR(F.col(form).bitwiseAND(F.lit(2**42 - 1)))
@@ -75,38 +88,58 @@ def cascade(spelled: DataFrame) -> DataFrame:
     # a form without a country or only of aliases never leads another: it could not join further
     counted = spelled.groupBy("form").agg(F.count_if((F.col("country") != "") & (F.col("kind") < 2)).alias("support"))
     counted = materialize(counted.select("form", _rank("form").alias("rank")), "support")
-    two = materialize(pairs_of_words(spelled).join(counted.hint("shuffle_hash"), "form"), "ranked")
+    two = materialize(pairs_of_words(spelled).filter("NOT joined").drop("joined").join(counted, "form"), "ranked")
     edges = together(spelled).unionByName(countries_of_lost(spelled)).unionByName(cuts(spelled, two))
     labels = components(edges).withColumnsRenamed({"vertex": "form", "component": "whole"})
-    ranked = materialize(labels.join(counted.hint("shuffle_hash"), "form"), "members")
+    ranked = materialize(labels.join(counted, "form"), "members")
     # the best supported form of a component stands for all of it
     leads = ranked.groupBy("whole").agg(F.max_by("form", "rank").alias("lead"), F.max("rank").alias("top"))
-    led = materialize(ranked.join(leads.hint("shuffle_hash"), "whole").select("form", "lead", "top"), "led")
+    led = materialize(ranked.join(leads, "whole").select("form", "lead", "top"), "led")
     found = [led.filter("form <> lead").select("form", F.col("lead").alias("parent"), F.lit(1).alias("rule"))]
-    units = two.join(led.hint("shuffle_hash"), "form", "left").withColumns({"form": F.coalesce("lead", "form"), "rank": F.coalesce("top", "rank")})
+    units = two.join(led, "form", "left").withColumns({"form": F.coalesce("lead", "form"), "rank": F.coalesce("top", "rank")})
     two = materialize(units.drop("lead", "top"), "units")
     for rule, (condition, keys) in key_rules().items():
-        keyed = two.filter(condition).select("form", "rank", F.explode(F.array(*keys)).alias("key"))
-        best = keyed.groupBy("key").agg(F.max_by("form", "rank").alias("up"), F.max("rank").alias("top"), F.min("rank").alias("low")).filter("low < top")
-        left = two.filter(condition)
+
+        def keyed(rows: DataFrame, rule: int = rule, condition: Column = condition, keys: list[Column] = keys) -> DataFrame:
+            out = rows.filter(condition).select("form", "rank", F.explode(F.array(*keys)).alias("key")).filter("key IS NOT NULL")
+            return out.unionByName(single_keys(rows)) if rule == 2 else out
+
+        best = keyed(two).groupBy("key").agg(F.max_by("form", "rank").alias("up"), F.max("rank").alias("top"), F.min("rank").alias("low")).filter("low < top")
+        left = two
         if len(found) > 1:
             resolved = reduce(DataFrame.unionByName, found[1:]).select("form")
-            left = left.join(resolved.hint("shuffle_hash"), "form", "left_anti")
-        left = left.select("form", "rank", F.explode(F.array(*keys)).alias("key"))
-        joined = left.join(best.hint("shuffle_hash"), "key").filter("top > rank")
+            left = left.join(resolved, "form", "left_anti")
+        joined = keyed(left).join(best, "key").filter("top > rank")
         found.append(materialize(joined.groupBy("form").agg(F.max_by("up", "top").alias("parent")).select("form", "parent", F.lit(rule).alias("rule")), f"pass{rule}"))
+    for old in (counted, labels, ranked, two):
+        release(old)
     return reduce(DataFrame.unionByName, found)
 
 
+def identifiers_of_forms(facts: DataFrame) -> DataFrame:
+    """(form, lei, lei_high, qid, qid_high, lei_n, qid_n): the smallest and greatest identifiers of the records under a form, and how many records have one."""
+    known = facts.filter("lei IS NOT NULL OR qid IS NOT NULL").groupBy("form")
+    return known.agg(*[f(c).alias(n) for c in ("lei", "qid") for f, n in ((F.min, c), (F.max, f"{c}_high"), (F.count, f"{c}_n"))])
+
+
 def rule_precision(links: DataFrame, labels: DataFrame) -> dict[int, float]:
-    """rule -> smoothed share of its joins whose known identifiers agree; one row a rule."""
-    side = lambda k: labels.select(F.col("form").alias(k), F.col("lei").alias(f"lei_{k}"), F.col("qid").alias(f"qid_{k}"))
-    both = links.join(side("form").hint("shuffle_hash"), "form").join(side("parent").hint("shuffle_hash"), "parent")
-    right = F.coalesce(F.col("lei_form") == F.col("lei_parent"), F.lit(False)) | F.coalesce(F.col("qid_form") == F.col("qid_parent"), F.lit(False))
-    wrong = ~right & (F.col("lei_form") != F.col("lei_parent")) & (F.col("qid_form") != F.col("qid_parent"))
-    counted = both.groupBy("rule").agg(F.count_if(right).alias("r"), F.count_if(F.coalesce(wrong, F.lit(False))).alias("w")).collect()
-    known = {r["rule"]: (r["r"] + 1) / (r["r"] + r["w"] + 2) for r in counted}
-    return {rule: known.get(rule, 0.5) for rule in (1, *key_rules())}
+    """rule -> smoothed share of the joins, among those whose identifiers are known, in which one agrees."""
+    side = lambda k: labels.select(F.col("form").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("lei", "lei_high", "qid", "qid_high")])
+    both = links.join(side("form"), "form").join(side("parent"), "parent")
+    agree = lambda c: reduce(Column.__or__, [F.col(f"{p}_form") == F.col(f"{q}_parent") for p in (c, f"{c}_high") for q in (c, f"{c}_high")])
+    known, right = _known_right({c: (F.col(f"{c}_form").isNotNull() & F.col(f"{c}_parent").isNotNull(), agree(c)) for c in ("lei", "qid")})
+    counted = both.groupBy("rule").agg(F.count_if(right).alias("r"), F.count_if(known).alias("n"))
+    known, right = _known_right({c: (F.col(f"{c}_n") > 1, F.col(c) == F.col(f"{c}_high")) for c in ("lei", "qid")})
+    alike = labels.agg(F.lit(0).alias("rule"), F.count_if(right).alias("r"), F.count_if(known).alias("n"))
+    shares = {r["rule"]: (r["r"] + 1) / (r["n"] + 2) for r in counted.unionByName(alike).collect()}  # one row a rule
+    return {rule: shares.get(rule, 0.5) for rule in (0, 1, *key_rules())}
+
+
+def _known_right(kinds: dict[str, tuple[Column, Column]]) -> tuple[Column, Column]:
+    """Whether an identifier of some kind is known, and whether a known one agrees."""
+    known = reduce(Column.__or__, [k for k, _ in kinds.values()])
+    right = reduce(Column.__or__, [k & F.coalesce(a, F.lit(False)) for k, a in kinds.values()])
+    return known, right
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -124,24 +157,41 @@ def roots(links: DataFrame) -> DataFrame:
     raise RuntimeError("trees did not collapse")
 
 
-def match_sources(companies: DataFrame, country_aliases: DataFrame, least: float = 0.5) -> DataFrame:
-    """(rec_id_a, rec_id_b, confidence): the same company in two sources, without a common identifier."""
+def placed_records(companies: DataFrame, country_aliases: DataFrame, least: float = 0.5, generic: Iterable[str] = ()) -> DataFrame:
+    """(rec_id, source, lei, qid, root, confidence): the company of every record with a usable name and a source."""
+    hash_small_partitions(companies.sparkSession)
     read = with_usable_ids(companies.select("rec_id", "country", "city", "name", "name_norm", "aliases", "lei", "wikidata_qid", source_key(F.col("source")).alias("key")))
     empty = F.xxhash64(F.lit(None).cast("string"))  # what the hash of null is
     keep = {k: F.nullif(F.xxhash64(c), empty) for k, c in (("source", "key"), ("lei", "usable_lei"), ("qid", "usable_qid"))}
-    spelled = spellings(read.select("rec_id", "country", "city", "name", "name_norm", "aliases", *[c.alias(f"{k}_number") for k, c in keep.items()]), country_aliases, {f"{k}_number": F.col(f"{k}_number") for k in keep})
-    spelled = spelled.withColumnsRenamed({f"{k}_number": k for k in keep})
-    facts = spelled.filter("first").select("rec_id", "form", "source", "lei", "qid")
+    spelled = spellings(read.select("rec_id", "country", "city", "name", "name_norm", "aliases", *[c.alias(f"{k}_number") for k, c in keep.items()]), country_aliases, {f"{k}_number": F.col(f"{k}_number") for k in keep}, generic)
+    facts = spelled.withColumnsRenamed({f"{k}_number": k for k in keep}).filter("first").select("rec_id", "form", "source", "lei", "qid")
     links = cascade(spelled)
-    labels = facts.filter("lei IS NOT NULL OR qid IS NOT NULL").groupBy("form").agg(F.min("lei").alias("lei"), F.min("qid").alias("qid"))
+    labels = materialize(identifiers_of_forms(facts), "labels")
     precision = rule_precision(links, labels)
+    release(labels)
     confidence = F.element_at(F.create_map(*[F.lit(x) for pair in precision.items() for x in pair]), F.col("rule"))
-    kept = links.withColumn("confidence", confidence).filter(F.col("confidence") >= least)
-    found = facts.filter("source IS NOT NULL").join(roots(kept).hint("shuffle_hash"), "form", "left")
-    rows = found.select("rec_id", "source", "lei", "qid", F.coalesce("root", "form").alias("root"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    tree = roots(links.withColumn("confidence", confidence).filter(F.col("confidence") >= least))
+    found = facts.filter("source IS NOT NULL").join(tree, "form", "left")
+    rows = found.select("rec_id", "source", "lei", "qid", F.coalesce("root", "form").alias("root"), F.least(F.coalesce("confidence", F.lit(1.0)), F.lit(precision[0])).alias("confidence"))
+    out = materialize(rows, "placed")
+    for old in (spelled, tree):
+        release(old)
+    return out
+
+
+def match_sources(companies: DataFrame, country_aliases: DataFrame, least: float = 0.5, generic: Iterable[str] = ()) -> DataFrame:
+    """(rec_id_a, rec_id_b, confidence): the same company in two sources, without a common identifier."""
+    rows = placed_records(companies, country_aliases, least, generic)
     several = rows.groupBy("root").agg(F.min("source").alias("low"), F.max("source").alias("high")).filter("low < high").select("root")
-    rows = materialize(rows.join(several.hint("shuffle_hash"), "root", "left_semi"), "placed")
+    rows = rows.join(several, "root", "left_semi")
     a = rows.select("root", *[F.col(c).alias(f"{c}_a") for c in ("rec_id", "source", "lei", "qid", "confidence")])
     b = rows.select("root", *[F.col(c).alias(f"{c}_b") for c in ("rec_id", "source", "lei", "qid", "confidence")])
     apart = "rec_id_a < rec_id_b AND source_a <> source_b AND NOT coalesce(lei_a = lei_b, false) AND NOT coalesce(qid_a = qid_b, false)"
     return a.join(b, "root").filter(apart).select("rec_id_a", "rec_id_b", F.least("confidence_a", "confidence_b").alias("confidence"))
+
+
+def source_members(companies: DataFrame, country_aliases: DataFrame, least: float = 0.5, generic: Iterable[str] = ()) -> DataFrame:
+    """(rec_id, company, confidence, sources): the company of every record and the number of sources it is in; grows with the records, not with their pairs."""
+    rows = placed_records(companies, country_aliases, least, generic)
+    spread = rows.select("root", "source").distinct().groupBy("root").agg(F.count("*").alias("sources"))
+    return rows.join(spread, "root").select("rec_id", F.col("root").alias("company"), "confidence", "sources")

@@ -1,35 +1,39 @@
 """Variant spellings of names typed by people, linked by a symmetric-delete index.
 
-The spellings of all records are reduced to their distinct forms (country, number,
-core words). Forms of two core words are put into blocks that share one word, or the
-trade and an end of one. Within a block, every form is entered in an index under its
-other word with no or one letter deleted: any two words one slip apart (a letter
-wrong, missing, doubled or swapped with its neighbour) meet under some entry, and a
-word cut short, or mistyped more than once, meets its whole form under its first or
-last letters. Forms that meet are
-aligned word by word by the assignment with the least distance; a link stands if one
-word agrees and the other is a slip or an abbreviation of it, or, where the words of
-trade agree, up to three edits away from it, or if both are slips and the words of
-trade agree. Forms of other than two words (a blank lost or added) meet two-word
-forms by all their cuts, and those of three words are entered under both ways to join
-two of them and both to drop an outer one.
+The spellings of all records are reduced to their distinct forms (country, numbers,
+core words). A form of any number of words is shown in rows (x, y): two words as they
+are; of more words each in turn as x and the others, sorted, as y, and so with two
+neighbours joined. Rows are put into blocks that share y (of two words also x), or the trade and an end of y.
+Within a block, every row is entered in an index under its other word with no or one
+letter deleted: any two words one slip apart (a letter wrong, missing, doubled or
+swapped with its neighbour) meet under some entry, and a word cut short, or mistyped
+more than once, meets its whole form under its first or last letters. Rows that meet are
+aligned by the assignment with the least distance; a link stands if one part agrees and
+the other is a slip or an abbreviation of it, or, where the words of trade agree, up to
+three edits away from it, or if both are slips and the words of trade agree. An initial
+stands for a word of its letter where only one company has such a word beside the others.
+Forms of one word carry their trade and meet under its beginning or end; they are linked
+by one slip from SINGLE letters on. Forms of other than two words (a blank lost or added)
+meet two-word forms by all their cuts.
 Spellings of one record belong together. Linked forms make companies by Boruvka
 consolidation.
 
-Scale: a hot name is one form however many records bear it. Forms of an index entry are
-compared until they are connected: under a deletion of a word, at most a letter a place
-differs, and entries of many forms with different other words are parted by these.
-Numbers and countries must agree, so sisters and namesakes stay apart.
+Scale: a hot name is one form however many records bear it. Generic words are set aside
+before blocking. Forms of an index entry are compared until they are connected. Blocks of
+more than HOT rows are counted first and parted in Spark, a row for each entry, so that no
+task holds a block of unbounded size; nothing is left out by that.
 
 Defined results: records without a usable spelling match nothing; a record whose
 country is unknown and cannot be told from its city belongs to the country that all
-records with its spelling agree on, else it only matches records alike; repeated rows match each other where their names differ; an empty table
-gives an empty result; other columns of the input are ignored.
+records with its spelling agree on, else it only matches records alike; repeated rows
+match each other where their names differ; an empty table gives an empty result; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,53 +41,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinspark.llm.consolidate import components
+from kinspark.llm.edits import deletions_of, slips
 from kinspark.llm.names import countries_of_lost, form_of, spellings
-from kinspark.session import materialize
+from kinspark.session import materialize, release
 
 #: Letters of a word's beginning or end that make a block.
 END = 3
 #: Letters that an abbreviated word keeps at least.
 SHORT = 4
-#: Letters beyond which a word's deletions are not listed, and a whole is not taken for two words.
-LONG, LONGEST_CUT = 64, 200
+#: Letters beyond which a word is entered by its ends, of which a slip leaves one whole, instead of its deletions.
+LONG = 64
+#: Letters of a name of one word from which on it may have a slip.
+SINGLE = 6
 #: Rows of an index entry beyond which it is parted by the other word.
 MANY = 32
-
-
-def one_slip(a: Column, b: Column) -> Column:
-    """Whether a and b are equal or one insertion, deletion, substitution or neighbour swap apart."""
-    swapped = (F.length(a) == F.length(b)) & (F.levenshtein(a, b, 2) == 2) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
-    return F.levenshtein(a, b, 1).between(0, 1) | swapped
-
-
-def slips(a: str, b: str, most: int) -> int:
-    """Insertions, deletions, substitutions and neighbour swaps between a and b; most + 1 if there are more."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    start = 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start : len(a) - end], b[start : len(b) - end]
-    if not a or not b or max(len(a), len(b)) == 1:
-        return min(max(len(a), len(b)), most + 1)
-    if most == 1:
-        return 1 if len(a) == len(b) == 2 and a == b[::-1] else 2
-    before, row = [], list(range(len(b) + 1))
-    for i, p in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, q in enumerate(b, 1):
-            cost = min(before[j] + 1, row[-1] + 1, before[j - 1] + (p != q))
-            if i > 1 and j > 1 and p == b[j - 2] and a[i - 2] == q:
-                cost = min(cost, older[j - 2] + 1)
-            row.append(cost)
-        if min(row) > most and min(before) > most:
-            return most + 1
-    return min(row[-1], most + 1)
+#: Rows of a block beyond which Spark parts it.
+HOT = 20_000
 
 
 def abbreviates(a: str, b: str) -> bool:
@@ -102,6 +75,8 @@ def near(a: str, b: str, same_trade: bool) -> bool:
 
 def aligned(xa: str, ya: str, xb: str, yb: str, same_trade: bool) -> bool:
     """Whether an assignment of the words makes the names variants of each other."""
+    if not ya or not yb:
+        return ya == yb and (xa == xb or (min(len(xa), len(xb)) >= SINGLE and slips(xa, xb, 1) <= 1))
     for p, q, r, s in ((xa, xb, ya, yb), (xa, yb, ya, xb)):
         if p == q:
             if near(r, s, same_trade):
@@ -115,25 +90,34 @@ def aligned(xa: str, ya: str, xb: str, yb: str, same_trade: bool) -> bool:
 
 
 def pairs_of_words(spelled: DataFrame) -> DataFrame:
-    """(form, base, x, y, trade, plain): the distinct forms as two words, x + y in order; base stands for country and number.
+    """(form, base, x, y, trade, plain, both, joined): the distinct forms in rows of two parts; base stands for country and numbers.
 
-    Forms of two words once; forms of three words by both ways to join neighbours, and
-    without their first or last word, which may be a mistyped word of trade.
+    plain: the form has two words. both: x and y change places, and x + y is the
+    smaller order; else y is all of the name but x. Of one word, y is empty.
+    joined: x is two neighbours in one, as a blank may have been put into a word.
     """
-    some = spelled.filter("n IN (2, 3) AND kind < 2").groupBy("form", base_of().alias("base"), "n", "x", "y", "z").agg(F.max("trade").alias("trade"))
-    two = some.filter("n = 2").select("form", "base", "x", "y", "trade", F.lit(True).alias("plain"))
-    ways = F.array(*[F.struct(F.expr(p).alias("p"), F.expr(q).alias("q")) for p, q in (("x || y", "z"), ("x", "y || z"), ("x", "y"), ("y", "z"))])
-    three = some.filter("n = 3").select("form", "base", "trade", F.inline(ways))
-    straight = F.concat("p", "q") <= F.concat("q", "p")
+    some = spelled.filter("kind < 2").groupBy("form", base_of().alias("base"), "n", "words").agg(F.max("trade").alias("trade"))
+    two = some.filter("n = 2").select("form", "base", F.split_part("words", F.lit(" "), F.lit(1)).alias("x"), F.split_part("words", F.lit(" "), F.lit(2)).alias("y"), "trade", F.lit(True).alias("plain"), F.lit(True).alias("both"), F.lit(False).alias("joined"))
+    one = some.filter("n = 1").select("form", "base", F.col("words").alias("x"), F.lit("").alias("y"), "trade", F.lit(False).alias("plain"), F.lit(False).alias("both"), F.lit(False).alias("joined"))
+    more = some.filter("n > 2").select("form", "base", "trade", "n", F.split("words", " ").alias("w"))
+    rest = "array_join(array_sort(filter({w}, (v, j) -> {out})), '')"
+    ways = ", ".join([
+        f"transform(w, (u, i) -> struct(u AS p, {rest.format(w='w', out='j <> i')} AS q, false AS joined))",
+        f"transform(slice(w, 2, n), (u, i) -> struct(w[i] || u AS p, {rest.format(w='w', out='j <> i AND j <> i + 1')} AS q, true AS joined))",
+    ])
+    shown = more.select("form", "base", "trade", "n", F.inline(F.expr(f"concat({ways})")), F.lit(False).alias("plain"))
+    # of three words, joining two leaves two
+    both = (F.col("n") == 3) & F.col("joined")
+    straight = ~both | (F.concat("p", "q") <= F.concat("q", "p"))
     turned = [F.when(straight, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("p", "q", "x"), ("q", "p", "y"))]
-    return two.unionByName(three.select("form", "base", *turned, "trade", F.lit(False).alias("plain")))
+    return two.unionByName(one).unionByName(shown.select("form", "base", *turned, "trade", "plain", both.alias("both"), "joined"))
 
 
 def cuts(spelled: DataFrame, two: DataFrame) -> DataFrame:
-    """(a, b): forms of one, three or more words and the forms of two words they may be, up to LONGEST_CUT letters."""
-    odd = spelled.filter("n <> 2").select("form", base_of().alias("base"), "whole").distinct()
+    """(a, b): forms of one, three or more words and the forms of two words they may be."""
+    odd = spelled.filter("n <> 2").select("form", base_of().alias("base"), F.replace("words", F.lit(" "), F.lit("")).alias("whole")).distinct()
     places = F.sequence(F.lit(END), F.length("whole") - END)
-    at = odd.filter(F.length("whole").between(2 * END, LONGEST_CUT)).select("form", "base", "whole", F.explode(places).alias("i"))
+    at = odd.filter(F.length("whole") >= 2 * END).select("form", "base", "whole", F.explode(places).alias("i"))
     left, right = F.expr("substring(whole, 1, i)"), F.expr("substring(whole, i + 1)")
     guessed = at.select(F.col("form").alias("a"), F.xxhash64("base", F.least(F.concat(left, right), F.concat(right, left))).alias("key"))
     plain = two.filter("plain").select(F.col("form").alias("b"), F.xxhash64("base", F.concat("x", "y")).alias("key"))
@@ -151,14 +135,10 @@ def together(spelled: DataFrame) -> DataFrame:
     return spelled.filter(lead != F.col("form")).select(lead.alias("a"), F.col("form").alias("b")).distinct()
 
 
-def _deletions(word: str) -> set[str]:
-    """The word with no or one letter deleted; of very long words itself, as their ends are entered too and one is whole."""
-    return {word} if len(word) > LONG else {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
-
-
 def _entries(word: str, ends: bool) -> set:
     """What a word is entered under: its deletions and, where wanted or the word is too long for them, its ends."""
-    return _deletions(word) | ({("short", word[:SHORT]), ("end", word[-SHORT:])} if ends or len(word) > LONG else set())
+    whole = {word} if len(word) > LONG else deletions_of(word)
+    return whole | ({("short", word[:SHORT]), ("end", word[-SHORT:])} if ends or len(word) > LONG else set())
 
 
 def _pairs_of_block(rows: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -261,43 +241,112 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(list(_pairs_of_block(waiting)))
 
 
-def links(two: DataFrame) -> DataFrame:
-    """(a, b): forms of two words that are variants of each other.
+def links(two: DataFrame, hot: int = HOT) -> DataFrame:
+    """(a, b): forms that are variants of each other.
 
     The symmetric-delete index is kept by block: the forms that share a word, and those
     that share the trade and an end of a word. A block's index maps every deletion of
     the other word to all forms that have it, in groups that are connected already.
     """
     base = F.col("base")
-    start, end = F.substring("y", 1, SHORT), F.right("y", F.lit(SHORT))
-    traded = F.when(F.col("trade") != 0, F.col("trade"))
+    traded = F.col("trade") != 0
+    block = lambda when, word, kind, *parts: F.struct(F.when(when, F.xxhash64(base, F.lit(kind), *parts)).alias("block"), F.col(word).alias("word"))
+    start, end = (lambda c: F.substring(c, 1, SHORT)), (lambda c: F.right(c, F.lit(SHORT)))
     blocks = F.array(
-        F.struct(F.xxhash64(base, F.lit(1), "y").alias("block"), F.col("x").alias("word")),
-        F.struct(F.xxhash64(base, F.lit(2), "x").alias("block"), F.col("y").alias("word")),
-        F.struct(F.when(traded.isNotNull(), F.xxhash64(base, F.lit(3), "trade", start)).alias("block"), F.col("x").alias("word")),
-        F.struct(F.when(traded.isNotNull(), F.xxhash64(base, F.lit(4), "trade", end)).alias("block"), F.col("x").alias("word")),
+        block(F.col("y") != "", "x", 1, "y"),
+        block(F.col("both"), "y", 1, "x"),
+        block(traded & (F.col("y") != ""), "x", 3, "trade", start(F.col("y"))),
+        block(traded & (F.col("y") != ""), "x", 4, "trade", end(F.col("y"))),
+        block(F.col("y") == "", "x", 5, "trade", start(F.col("x"))),
+        block(F.col("y") == "", "x", 6, "trade", end(F.col("x"))),
     )
     rows = two.select("form", "x", "y", "trade", F.inline(blocks)).filter("block IS NOT NULL").select("block", "form", "word", "x", "y", "trade")
+    large = materialize(rows.groupBy("block").count().filter(F.col("count") > hot).select("block"), "hotblocks")
+    if not large.isEmpty():
+        # rows that can be aligned have an entry in common
+        parted = rows.join(large, "block", "left_semi").mapInArrow(_spread, "block long, form long, word string, x string, y string, trade int")
+        rows = rows.join(large, "block", "left_anti").unionByName(parted)
+    else:
+        release(large)
     return rows.repartition("block").sortWithinPartitions("block", "form").mapInArrow(_link, "a long, b long").distinct()
 
 
-def companies_by_spelling(companies: DataFrame, country_aliases: DataFrame) -> DataFrame:
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of large blocks, one for each entry of their word."""
+    for batch in batches:
+        out = []
+        for block, form, word, x, y, trade in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            out += [(_number(block, e), form, word, x, y, trade) for e in _entries(word, True)]
+        names = ["block", "form", "word", "x", "y", "trade"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], batch.column(i).type) for i in range(len(names))], names=names)
+
+
+def _number(*parts) -> int:
+    """A number of 64 bits that stands for the parts, alike in all processes."""
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def with_initials(two: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` with the forms whose one word is an initial under the company that it stands for.
+
+    An initial stands for a word if the forms with the same other words, and a word of
+    that letter, are of one company.
+    """
+    turned = two.filter("both").select("form", "base", F.col("y").alias("x"), F.col("x").alias("y"))
+    parts = two.filter("y <> ''").select("form", "base", "x", "y").unionByName(turned)
+    parts = parts.select("form", (F.length("x") == 1).alias("initial"), F.xxhash64("base", "y", F.substring("x", 1, 1)).alias("key"))
+    asked = materialize(parts.filter("initial").select("form", "key").distinct(), "initials")
+    if asked.isEmpty():
+        release(asked)
+        return labels
+    vertex = lambda df: df.withColumnRenamed("form", "vertex").join(labels, "vertex", "left").withColumn("company", F.coalesce("component", "vertex"))
+    known = vertex(parts.filter("NOT initial").join(asked.select("key").distinct(), "key", "left_semi"))
+    one = known.groupBy("key").agg(F.min("company").alias("company"), F.max("company").alias("high")).filter("company = high").select("key", F.col("company").alias("b"))
+    merged = components(vertex(asked).join(one, "key").filter("company <> b").select(F.col("company").alias("a"), "b"))
+    moved = merged.select(F.col("vertex").alias("component"), F.col("component").alias("whole"))
+    out = labels.join(moved, "component", "left").select("vertex", F.coalesce("whole", "component").alias("component"))
+    new = merged.join(labels, "vertex", "left_anti")  # forms that nothing tied before
+    out = materialize(out.unionByName(new.select("vertex", "component")), "labels")
+    for old in (asked, labels, merged):
+        release(old)
+    return out
+
+
+def companies_by_spelling(companies: DataFrame, country_aliases: DataFrame, generic: Iterable[str] = (), hot: int = HOT) -> DataFrame:
     """(rec_id, company, written): records under the same company number are variants of one name.
 
     written is the hash of the name as written; a null name counts as a string of its own.
+    ``generic`` are words known to be generic besides those learnt from the names.
     """
-    spelled = spellings(companies, country_aliases, {"written": F.xxhash64("name", F.col("name").isNull())})
+    spelled = spellings(companies, country_aliases, {"written": F.xxhash64("name", F.col("name").isNull())}, generic)
     two = materialize(pairs_of_words(spelled), "twowords")
-    edges = together(spelled).unionByName(countries_of_lost(spelled)).unionByName(cuts(spelled, two)).unionByName(links(two))
-    labels = components(edges)
+    edges = together(spelled).unionByName(countries_of_lost(spelled)).unionByName(cuts(spelled, two)).unionByName(links(two, hot))
+    labels = with_initials(two, components(edges))
+    release(two)
     own = spelled.filter("first").select("rec_id", F.col("form").alias("vertex"), "written")
-    return own.join(labels, "vertex", "left").select("rec_id", F.coalesce("component", "vertex").alias("company"), "written")
+    out = materialize(own.join(labels, "vertex", "left").select("rec_id", F.coalesce("component", "vertex").alias("company"), "written"), "companies")
+    release(spelled)
+    release(labels)
+    return out
+
+
+def variant_members(companies: DataFrame, country_aliases: DataFrame, generic: Iterable[str] = ()) -> DataFrame:
+    """(rec_id, company, links): the company of every record with a usable spelling, and how many of its records are written differently.
+
+    The result grows with the records, not with their pairs.
+    """
+    of = companies_by_spelling(companies, country_aliases, generic)
+    spelled = of.groupBy("company", "written").count()
+    all_of = spelled.groupBy("company").agg(F.sum("count").alias("all"))
+    links = spelled.join(all_of, "company").select("company", "written", (F.col("all") - F.col("count")).alias("links"))
+    return of.join(links, ["company", "written"]).select("rec_id", "company", "links")
 
 
-def variant_pairs(companies: DataFrame, country_aliases: DataFrame) -> DataFrame:
+def variant_pairs(companies: DataFrame, country_aliases: DataFrame, generic: Iterable[str] = (), hot: int = HOT) -> DataFrame:
     """(rec_id_a, rec_id_b): records of one company whose names are different strings."""
-    of = materialize(companies_by_spelling(companies, country_aliases), "companies")
+    of = companies_by_spelling(companies, country_aliases, generic, hot)
     several = of.groupBy("company").agg(F.min("written").alias("low"), F.max("written").alias("high")).filter("low < high").select("company")
     rows = materialize(of.join(several, "company", "left_semi"), "named")
+    release(of)
     a, b = (rows.select("company", F.col("rec_id").alias(f"rec_id_{k}"), F.col("written").alias(f"written_{k}")) for k in "ab")
     return a.join(b, "company").filter("rec_id_a < rec_id_b AND written_a <> written_b").select("rec_id_a", "rec_id_b")
