@@ -20,7 +20,7 @@ consolidation.
 
 Scale: a hot name is one form however many records bear it. Generic words are set aside
 before blocking. Forms of an index entry are compared until they are connected. Blocks of
-more than HOT rows are counted first and parted in Spark, a row for each entry, so that no
+more than HOT rows are found first and parted in Spark, a row for each entry, so that no
 task holds a block of unbounded size; nothing is left out by that.
 
 Defined results: records without a usable spelling match nothing; a record whose
@@ -56,7 +56,7 @@ SINGLE = 6
 #: Rows of an index entry beyond which it is parted by the other word.
 MANY = 32
 #: Rows of a block beyond which Spark parts it.
-HOT = 20_000
+HOT = 100_000
 
 
 def abbreviates(a: str, b: str) -> bool:
@@ -141,6 +141,13 @@ def _entries(word: str, ends: bool) -> set:
     return whole | ({("short", word[:SHORT]), ("end", word[-SHORT:])} if ends or len(word) > LONG else set())
 
 
+def _meet(rows: list[tuple]) -> bool:
+    """Whether the two rows of a block have an entry in common."""
+    (_, u, xa, ya, _), (_, v, xb, yb, _) = rows
+    same = (ya if u == xa else xa) == (yb if v == xb else xb)
+    return not _entries(u, same).isdisjoint(_entries(v, same))
+
+
 def _pairs_of_block(rows: list[tuple]) -> Iterator[tuple[int, int]]:
     """Aligned pairs among the rows (form, word, x, y, trade) of a block that connect all rows which are aligned and meet under an entry.
 
@@ -149,6 +156,11 @@ def _pairs_of_block(rows: list[tuple]) -> Iterator[tuple[int, int]]:
     a block differ, only slips in both words are sought, and an entry of more than MANY
     rows is parted by the entries of the other word.
     """
+    if len(rows) == 2:
+        (a, u, xa, ya, s), (b, v, xb, yb, t) = rows
+        if a != b and ((xa, ya, s) == (xb, yb, t) or (aligned(xa, ya, xb, yb, s != 0 and s == t) and _meet(rows))):
+            yield a, b
+        return
     others = [y if word == x else x for _, word, x, y, _ in rows]
     several = len(set(others)) > 1
     index: dict = {}
@@ -224,18 +236,21 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         blocks = batch.column(0).to_numpy()
-        rows = list(zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True))
-        starts = np.concatenate(([0], np.nonzero(np.diff(blocks))[0] + 1))
-        stops = np.append(starts[1:], len(blocks))
+        # rows alone in their block are left out; at the ends of a batch they may go on
+        new = np.concatenate(([True], blocks[1:] != blocks[:-1], [True]))
+        alone = new[1:] & new[:-1]
+        alone[0] = alone[-1] = False
+        kept = batch.filter(pa.array(~alone)) if alone.any() else batch
+        blocks = kept.column(0).to_numpy()
+        rows = list(zip(*[c.to_pylist() for c in kept.columns[1:]], strict=True))
+        starts = np.concatenate(([0], np.nonzero(np.diff(blocks))[0] + 1)).tolist()
         found: list[tuple[int, int]] = []
-        for i, (start, stop) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
-            last = i == len(starts) - 1
+        for start, stop in zip(starts, [*starts[1:], len(blocks)], strict=True):
             if blocks[start] != block:
                 if len(waiting) > 1:
                     found += _pairs_of_block(waiting)
                 block, waiting = blocks[start], []
-            if last or waiting or stop - start > 1:
-                waiting += rows[start:stop]
+            waiting += rows[start:stop]
         yield out(found)
     if len(waiting) > 1:
         yield out(list(_pairs_of_block(waiting)))
@@ -261,7 +276,9 @@ def links(two: DataFrame, hot: int = HOT) -> DataFrame:
         block(F.col("y") == "", "x", 6, "trade", end(F.col("x"))),
     )
     rows = two.select("form", "x", "y", "trade", F.inline(blocks)).filter("block IS NOT NULL").select("block", "form", "word", "x", "y", "trade")
-    large = materialize(rows.groupBy("block").count().filter(F.col("count") > hot).select("block"), "hotblocks")
+    # a block of more rows than that has more than a task's share of them in some task
+    share = hot // max(rows.rdd.getNumPartitions(), 1)
+    large = materialize(rows.select("block").mapInArrow(_common(share), "block long").distinct(), "hotblocks")
     if not large.isEmpty():
         # rows that can be aligned have an entry in common
         parted = rows.join(large, "block", "left_semi").mapInArrow(_spread, "block long, form long, word string, x string, y string, trade int")
@@ -271,6 +288,16 @@ def links(two: DataFrame, hot: int = HOT) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block", "form").mapInArrow(_link, "a long, b long").distinct()
 
 
+def _common(share: int):
+    """The blocks of which a task has more than ``share`` rows; it holds a number a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in batches)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(blocks[n > share])], names=["block"])
+
+    return run
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of large blocks, one for each entry of their word."""
     for batch in batches:
