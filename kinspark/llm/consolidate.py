@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from kinspark.functions.identifiers import with_usable_ids
 from kinspark.session import materialize, release
 
-#: Hash partitions of a key that adaptive execution may split further when skewed.
+#: Rounds of hooking or doubling beyond which something is wrong: each at least halves what is left.
 MAX_ROUNDS = 64
 
 
@@ -87,25 +87,19 @@ def _hook(open_edges: DataFrame) -> DataFrame:
     # the order is total: no longer cycles can arise
     hooked = both.groupBy("node").agg(F.min("other").alias("parent"))
     back = hooked.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-    tree = hooked.join(back, "parent", "left").select(
-        "node",
-        F.when((F.col("grand") == F.col("node")) & (F.col("node") < F.col("parent")), F.col("node"))
-        .otherwise(F.col("parent"))
-        .alias("parent"),
-    )
+    mutual = F.col("grand") == F.col("node")
+    tree = hooked.join(back, "parent").select("node", F.when(mutual & (F.col("node") < F.col("parent")), F.col("node")).otherwise(F.col("parent")).alias("parent"), mutual.alias("done"))
     tree = materialize(tree, "tree")
     for _ in range(MAX_ROUNDS):
-        up = tree.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        step = materialize(
-            tree.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("root"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved")),
-            "tree",
-        )
-        moved = not step.filter("moved").isEmpty()
-        release(tree)
-        tree = step.select("node", F.col("root").alias("parent"))
-        tree._kinspark_path = step._kinspark_path
-        if not moved:
+        if tree.filter("NOT done").isEmpty():
             break
+        # done: the parent is a root, which its own row tells
+        up = tree.select(F.col("node").alias("parent"), F.col("parent").alias("grand"), F.col("done").alias("above"))
+        step = materialize(tree.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("done") | F.col("above") | (F.col("grand") == F.col("parent"))).alias("done")), "tree")
+        release(tree)
+        tree = step
+    else:
+        raise RuntimeError("trees did not collapse")
     smallest = tree.groupBy("parent").agg(F.min("node").alias("root"))
     out = materialize(tree.join(smallest, "parent").select("node", "root"), "roots")
     release(tree)

@@ -88,16 +88,18 @@ def cascade(spelled: DataFrame) -> DataFrame:
     # a form without a country or only of aliases never leads another: it could not join further
     counted = spelled.groupBy("form").agg(F.count_if((F.col("country") != "") & (F.col("kind") < 2)).alias("support"))
     counted = materialize(counted.select("form", _rank("form").alias("rank")), "support")
-    two = materialize(pairs_of_words(spelled).filter("NOT joined").drop("joined").join(counted, "form"), "ranked")
-    edges = together(spelled).unionByName(countries_of_lost(spelled)).unionByName(cuts(spelled, two))
-    labels = components(edges).withColumnsRenamed({"vertex": "form", "component": "whole"})
-    ranked = materialize(labels.join(counted, "form"), "members")
+    two = materialize(pairs_of_words(spelled).filter("NOT joined").drop("joined"), "twowords")
+    labels = components(together(spelled).unionByName(countries_of_lost(spelled)).unionByName(cuts(spelled, two)))
     # the best supported form of a component stands for all of it
-    leads = ranked.groupBy("whole").agg(F.max_by("form", "rank").alias("lead"), F.max("rank").alias("top"))
-    led = materialize(ranked.join(leads, "whole").select("form", "lead", "top"), "led")
+    ranked = counted.join(labels.withColumnsRenamed({"vertex": "form", "component": "whole"}), "form", "left")
+    leads = ranked.filter("whole IS NOT NULL").groupBy("whole").agg(F.max_by("form", "rank").alias("lead"), F.max("rank").alias("top"))
+    led = ranked.join(leads, "whole", "left").select("form", F.coalesce("lead", "form").alias("lead"), F.coalesce("top", "rank").alias("rank"))
+    led = materialize(led, "led")
     found = [led.filter("form <> lead").select("form", F.col("lead").alias("parent"), F.lit(1).alias("rule"))]
-    units = two.join(led, "form", "left").withColumns({"form": F.coalesce("lead", "form"), "rank": F.coalesce("top", "rank")})
-    two = materialize(units.drop("lead", "top"), "units")
+    units = materialize(two.join(led, "form").drop("form", "plain").withColumnRenamed("lead", "form"), "units")
+    for old in (counted, labels, two):
+        release(old)
+    two = units
     for rule, (condition, keys) in key_rules().items():
 
         def keyed(rows: DataFrame, rule: int = rule, condition: Column = condition, keys: list[Column] = keys) -> DataFrame:
@@ -111,8 +113,7 @@ def cascade(spelled: DataFrame) -> DataFrame:
             left = left.join(resolved, "form", "left_anti")
         joined = keyed(left).join(best, "key").filter("top > rank")
         found.append(materialize(joined.groupBy("form").agg(F.max_by("up", "top").alias("parent")).select("form", "parent", F.lit(rule).alias("rule")), f"pass{rule}"))
-    for old in (counted, labels, ranked, two):
-        release(old)
+    release(two)
     return reduce(DataFrame.unionByName, found)
 
 
@@ -144,16 +145,18 @@ def _known_right(kinds: dict[str, tuple[Column, Column]]) -> tuple[Column, Colum
 
 def roots(links: DataFrame) -> DataFrame:
     """(form, root, confidence) of every joined form, by pointer doubling."""
-    tree = materialize(links.select("form", F.col("parent").alias("root"), "confidence"), "tree")
+    tree = materialize(links.select("form", F.col("parent").alias("root"), "confidence", F.lit(False).alias("done")), "tree")
     for _ in range(MAX_DEPTH):
-        up = tree.select(F.col("form").alias("root"), F.col("root").alias("top"), F.col("confidence").alias("upper"))
+        up = tree.select(F.col("form").alias("root"), F.col("root").alias("top"), F.col("confidence").alias("upper"), F.col("done").alias("above"))
+        # done: what is above joined nothing, or was done
         step = materialize(
-            tree.join(up, "root", "left").select("form", F.coalesce("top", "root").alias("root"), F.least("confidence", F.coalesce("upper", "confidence")).alias("confidence"), F.col("top").isNotNull().alias("moved")),
+            tree.join(up, "root", "left").select("form", F.coalesce("top", "root").alias("root"), F.least("confidence", F.coalesce("upper", "confidence")).alias("confidence"), F.coalesce("above", F.lit(True)).alias("done")),
             "tree",
         )
-        tree = step.drop("moved")
-        if step.filter("moved").isEmpty():
-            return tree
+        release(tree)
+        tree = step
+        if tree.filter("NOT done").isEmpty():
+            return tree.drop("done")
     raise RuntimeError("trees did not collapse")
 
 
@@ -174,16 +177,13 @@ def placed_records(companies: DataFrame, country_aliases: DataFrame, least: floa
     found = facts.filter("source IS NOT NULL").join(tree, "form", "left")
     rows = found.select("rec_id", "source", "lei", "qid", F.coalesce("root", "form").alias("root"), F.least(F.coalesce("confidence", F.lit(1.0)), F.lit(precision[0])).alias("confidence"))
     out = materialize(rows, "placed")
-    for old in (spelled, tree):
-        release(old)
+    release(spelled)
     return out
 
 
 def match_sources(companies: DataFrame, country_aliases: DataFrame, least: float = 0.5, generic: Iterable[str] = ()) -> DataFrame:
     """(rec_id_a, rec_id_b, confidence): the same company in two sources, without a common identifier."""
     rows = placed_records(companies, country_aliases, least, generic)
-    several = rows.groupBy("root").agg(F.min("source").alias("low"), F.max("source").alias("high")).filter("low < high").select("root")
-    rows = rows.join(several, "root", "left_semi")
     a = rows.select("root", *[F.col(c).alias(f"{c}_a") for c in ("rec_id", "source", "lei", "qid", "confidence")])
     b = rows.select("root", *[F.col(c).alias(f"{c}_b") for c in ("rec_id", "source", "lei", "qid", "confidence")])
     apart = "rec_id_a < rec_id_b AND source_a <> source_b AND NOT coalesce(lei_a = lei_b, false) AND NOT coalesce(qid_a = qid_b, false)"

@@ -371,9 +371,6 @@ def variant_members(companies: DataFrame, country_aliases: DataFrame, generic: I
 
 def variant_pairs(companies: DataFrame, country_aliases: DataFrame, generic: Iterable[str] = (), hot: int = HOT) -> DataFrame:
     """(rec_id_a, rec_id_b): records of one company whose names are different strings."""
-    of = companies_by_spelling(companies, country_aliases, generic, hot)
-    several = of.groupBy("company").agg(F.min("written").alias("low"), F.max("written").alias("high")).filter("low < high").select("company")
-    rows = materialize(of.join(several, "company", "left_semi"), "named")
-    release(of)
+    rows = companies_by_spelling(companies, country_aliases, generic, hot)
     a, b = (rows.select("company", F.col("rec_id").alias(f"rec_id_{k}"), F.col("written").alias(f"written_{k}")) for k in "ab")
     return a.join(b, "company").filter("rec_id_a < rec_id_b AND written_a <> written_b").select("rec_id_a", "rec_id_b")
