@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-#: Rows of a narrow table up to which it is broadcast.
-MAX_BROADCAST_ROWS = 200_000
+#: Bytes of a table up to which it is broadcast.
+MAX_BROADCAST_BYTES = 8 << 20
 
 
 def get_session(cores: int | str = "*", app: str = "kinspark", shuffle_partitions: int = 8) -> SparkSession:
@@ -93,9 +93,10 @@ def hash_small_partitions(spark: SparkSession, size: str = "64MB") -> None:
         spark.conf.set(key, size)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df``, a written narrow table, marked for broadcast if it has at most ``limit`` rows; beyond, joins shuffle it."""
-    return F.broadcast(df) if df.count() <= limit else df
+def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``df``, a written flat table, marked for broadcast if its values take at most ``limit`` bytes; beyond, joins shuffle it."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(0) for c, t in df.dtypes), F.lit(16 * len(df.columns)))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= limit else df
 
 
 def release(df: DataFrame) -> None:
