@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspark.llm.addresses import same_places
+from kinspark.llm.addresses import place_of_records, same_places
 from kinspark.llm.consolidate import tied_groups
 from kinspark.llm.lookalike import consistent_forms
 from kinspark.llm.match import match_sources, source_members
@@ -133,4 +133,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_places(read_table(spark, sf_dir, "companies_filtered"))
 
 
-QUERIES |= {"p4_found": p4_found}
+def p4_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_id, street, number, postal: the place of every record; grows with the records, not with their pairs."""
+    return place_of_records(read_table(spark, sf_dir, "companies_filtered"))
+
+
+QUERIES |= {"p4_found": p4_found, "p4_places": p4_places}

@@ -185,6 +185,40 @@ def test_places(companies):
     assert place_of_records(companies(*here)).count() == 7
 
 
+PLACES = {
+    # two addresses with city and postal code, whether they are one place
+    "a short city": (("12 Vihelfen Street", "Ulm", None), ("Vihelfen St. 12", "Ulm", "89073"), True),
+    "a city of two signs": (("12 Vihelfen Street", "東京", None), ("Vihelfen St. 12", "東京", None), True),
+    "namesakes": (("12 Main Street", "Paris", "75001"), ("12 Main St", "Paris", "TX-75460"), False),
+    "a slip in the postal code": (("12 Main Street", "Paris", "75001"), ("12 Main St", "Paris", "75010"), True),
+    "kinds": (("7 Vihelfen Crescent", "Ulm", None), ("7 Vihelfen Cres", "Ulm", None), True),
+    "other kinds": (("7 Vihelfen Crescent", "Ulm", None), ("7 Vihelfen Close", "Ulm", None), False),
+    "a street of a letter": (("7 Avenue B", "Ulm", None), ("Ave B 7", "Ulm", None), True),
+    "a filler as city": (("7 Vihelfen Crescent", "unknown", None), ("7 Vihelfen Cres", "unknown", None), False),
+}
+
+
+@pytest.mark.parametrize("shape", PLACES)
+def test_places_of_any_shape(shape, companies):
+    a, b, same = PLACES[shape]
+    rows = [dict(zip(("address", "city", "postal_code"), p, strict=True)) | {"rec_id": i} for i, p in enumerate((a, b), 1)]
+    assert [tuple(r) for r in same_places(companies(*rows)).collect()] == ([(1, 2)] if same else [])
+
+
+def test_beam_prefers_a_known_street(companies):
+    # the plainest reading is the first part with a kind; only the second names a street that others know
+    known = [{"rec_id": i, "address": f"{i} Vihelfen Street", "city": "Ulm"} for i in range(1, 40)]
+    odd = {"rec_id": 99, "address": "Sotulu Court 3, Vihelfen Street 3", "city": "Ulm"}
+    assert readings(odd["address"])[0][4] == "sotulu"
+    assert [tuple(r) for r in same_places(companies(*known, odd)).collect()] == [(3, 99)]
+    assert len(readings(", ".join(f"{i} Street{i} Road" for i in range(50)))) == 50
+
+
+def test_two_slips_of_a_repeated_spelling(companies):
+    rows = [{"rec_id": i, "address": "360 Vihelfenoro Parkway" + " " * i, "city": "Ulm"} for i in range(1, 9)] + [{"rec_id": i, "address": "360 Vehlefenoro Parkway" + " " * i, "city": "Ulm"} for i in (20, 21)]
+    assert same_places(companies(*rows)).count() == 45
+
+
 def test_all_forms_of_an_entry_are_compared(companies, country_aliases, generic=GENERIC):
     words = ["Velmont", "Vellmora", "Velmora", "Velmorra", "Velmorax"]  # one slip around the third, in any order of arrival
     names = [f"{w} Mitusa {t}" for w, t in zip(words, ("Mining", "Steel", "Copper", "Gold", "Energy"), strict=True)]
