@@ -31,8 +31,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tied_groups(read_table(spark, sf_dir, "companies_filtered"))
 
 
+def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """group_id, field, rec_id, layer: the same filled from the lowest dominance layer that has a value."""
+    companies = read_table(spark, sf_dir, "companies_filtered")
+    return company_survivors(companies, materialize(tied_groups(companies), "groups"), "layers")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_survivors": p1_survivors,
     "p2_found": p2_found,
 }
 

@@ -1,18 +1,22 @@
 """Best representative of each duplicate group by skyline selection.
 
-Every record of a group is a point in the space of completeness (one axis a
-field), recency and trust. ``skyline_survivors`` computes the dominance layers:
-layer 1 holds the records that no other record beats or equals on all axes,
-layer 2 those undominated once layer 1 is gone, and so on. Each field is taken
-from the lowest layer that has a value for it (so nulls left by layer 1 are
-filled from the successive layers), and within the layer by a lexicographic
-policy: the field's measure where it is graded, then trust, recency and the
-smaller id.
-
-Scale: before a group is gathered, its records are reduced to one per cell of
-(trust, measures), the most recent, as all others of the cell are dominated
-inside it; partial aggregation does this ahead of the shuffle. What is gathered
-for a group is bounded by the number of cells, not of its records.
+Every record of a group is a point in the space of completeness (the number of fields
+it has a value for), recency and trust. ``skyline_survivors`` computes the dominance
+layers: layer 1 holds the records that no other record beats or equals on all three
+axes, layer 2 those undominated once layer 1 is gone, and so on. The best record of layer
+1 by the lexicographic policy leads; where it has no value for a field, that is filled:
+
+* policy "layers": from the lowest layer that has a value, within it by the field's
+  measure where it is graded, then trust, recency and the smaller id;
+* policy "rank": from all layers by the field's measure, trust, recency and the smaller
+  id. It is what the fixed ranking of p1_found asks for: a trusted record that is
+  dominated may come before an undominated one of less trust. The leader is the same under
+  both, as the first by rank is never dominated.
+
+Scale: before a group is gathered, its records are reduced to candidates, the most
+recent one of each cell of (trust, measures); partial aggregation does this ahead of the
+shuffle. Layers are those of the candidates. What is gathered for a group is bounded by
+the number of cells, not of its records.
 
 Defined results: a null recency is the oldest; null measures count as 0 (no
 value); ties end with the smaller id; a group in which no record has a value for
@@ -46,12 +50,15 @@ def company_measures() -> dict[str, Column]:
 
 
 def skyline_survivors(
-    records: DataFrame, group: str, id_col: str, trust: Column, recency: Column, measures: dict[str, Column]
+    records: DataFrame, group: str, id_col: str, trust: Column, recency: Column, measures: dict[str, Column], policy: str = "layers"
 ) -> DataFrame:
-    """(group, field, id, layer): the record that supplies each field of each group.
+    """(group, field, id, layer): the record that supplies each field of each group, and its dominance layer.
 
-    trust: smaller is better. recency: a timestamp, later is better.
+    trust: smaller is better. recency: a timestamp, later is better. measures: what a
+    record's value of each field is worth, 0 for none. policy: "layers" or "rank".
     """
+    if policy not in ("layers", "rank"):
+        raise ValueError(f"no such policy: {policy}")
     names = list(measures)
     points = records.select(
         F.col(group).alias("g"),
@@ -62,21 +69,20 @@ def skyline_survivors(
     )
     marks = [f"m{i}" for i in range(len(names))]
     cells = points.groupBy("g", "trust", *marks).agg(F.min(F.struct("age", "id")).alias("best"))
-    # in this order every record comes after all that dominate it
+    # in this order (trust, age, id first) every record comes after all that dominate it
     cell = F.struct(
         "trust",
         F.col("best.age").alias("age"),
         F.col("best.id").alias("id"),
         *[(-F.col(m)).alias(m) for m in marks],
+        sum((F.when(F.col(m) > 0, 1).otherwise(0) for m in marks), F.lit(0)).alias("filled"),
     )
     gathered = cells.groupBy("g").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 
     def beats(x: Column, y: Column) -> Column:
         # of equal age the smaller id is taken as the more recent, so that ties are ordered on all axes
-        out = (x["trust"] <= y["trust"]) & ((x["age"] < y["age"]) | ((x["age"] == y["age"]) & (x["id"] <= y["id"])))
-        for m in marks:
-            out = out & (x[m] <= y[m])
-        return out
+        recent = (x["age"] < y["age"]) | ((x["age"] == y["age"]) & (x["id"] <= y["id"]))
+        return (x["trust"] <= y["trust"]) & recent & (x["filled"] >= y["filled"])
 
     def add(acc: Column, y: Column) -> Column:
         above = F.array_max(F.transform(F.filter(acc, lambda x: beats(x["cell"], y)), lambda x: x["layer"]))
@@ -89,7 +95,7 @@ def skyline_survivors(
         having = F.filter("points", lambda p: p["cell"][m] < 0)
         ranked = F.transform(
             having,
-            lambda p: F.struct(p["layer"].alias("layer"), p["cell"][m].alias("less"), p["cell"]["trust"].alias("trust"), p["cell"]["age"].alias("age"), p["cell"]["id"].alias("id")),
+            lambda p: F.struct((p["layer"] if policy == "layers" else F.lit(0)).alias("order"), p["cell"][m].alias("less"), p["cell"]["trust"].alias("trust"), p["cell"]["age"].alias("age"), p["cell"]["id"].alias("id"), p["layer"].alias("layer")),
         )
         return F.array_min(ranked)
 
@@ -98,7 +104,7 @@ def skyline_survivors(
     return flat.select(F.col("g").alias(group), F.col("x.field").alias("field"), F.col("x.p.id").alias(id_col), F.col("x.p.layer").alias("layer"))
 
 
-def company_survivors(companies: DataFrame, groups: DataFrame) -> DataFrame:
+def company_survivors(companies: DataFrame, groups: DataFrame, policy: str = "rank") -> DataFrame:
     """``skyline_survivors`` of company records under ``groups`` (rec_id, group_id)."""
     members = companies.select("rec_id", "lei", "wikidata_qid", "aliases", "source", "updated_at").join(groups, "rec_id")
-    return skyline_survivors(members, "group_id", "rec_id", company_trust(F.col("source")), F.col("updated_at"), company_measures())
+    return skyline_survivors(members, "group_id", "rec_id", company_trust(F.col("source")), F.col("updated_at"), company_measures(), policy)

@@ -73,16 +73,50 @@ def test_company_survivors(companies, spark, day):
     assert company_survivors(rows.limit(0), groups).count() == 0
 
 
-def test_skyline_fills_from_later_layers(spark):
+def brute_layers(points):
+    """Peels the undominated points of (trust, age, id, filled) off, layer by layer."""
+    beats = lambda x, y: x != y and x[0] <= y[0] and x[1:3] <= y[1:3] and x[3] >= y[3]
+    left, layers, n = set(points), {}, 0
+    while left:
+        n += 1
+        top = {p for p in left if not any(beats(q, p) for q in left)}
+        layers |= dict.fromkeys(top, n)
+        left -= top
+    return layers
+
+
+def test_skyline_against_brute_force(spark):
     r = random.Random(2)
     data = [(r.randrange(6), i, r.randint(1, 3), r.randrange(5), r.randrange(2), r.randrange(3)) for i in range(300)]
     df = spark.createDataFrame(data, "g int, id long, trust int, t int, a int, b int")
-    when = F.timestamp_seconds(F.col("t"))
-    got = {(x["g"], x["field"]): (x["id"], x["layer"]) for x in skyline_survivors(df, "g", "id", F.col("trust"), when, {"a": F.col("a")}).collect()}
-    for g in range(6):
-        best = min((trust, -t, i) for k, i, trust, t, a, b in data if k == g and a)
-        assert got[(g, "a")] == (best[2], 1)
-    # the measured field has no value in the first layer: it is filled from the next
-    two = spark.createDataFrame([(1, 1, 1, 9, 0), (1, 2, 2, 5, 1)], "g int, id long, trust int, t int, a int")
-    flat = skyline_survivors(two, "g", "id", F.col("trust"), F.timestamp_seconds(F.col("t")), {"a": F.col("a")}).first()
-    assert flat["id"] == 2
+    args = (df, "g", "id", F.col("trust"), F.timestamp_seconds(F.col("t")), {"a": F.col("a"), "b": F.col("b")})
+    for policy in ("layers", "rank"):
+        got = {(x["g"], x["field"]): (x["id"], x["layer"]) for x in skyline_survivors(*args, policy=policy).collect()}
+        expected = {}
+        for g in range(6):
+            cells = {}
+            for k, i, trust, t, a, b in data:
+                if k == g:
+                    cells[trust, a, b] = min(cells.get((trust, a, b), (99, 0)), (-t, i))
+            points = {(trust, age, i, (a > 0) + (b > 0)): (a, b) for (trust, a, b), (age, i) in cells.items()}
+            layers = brute_layers(points)
+            for n, field in enumerate("ab"):
+                best = min(((layers[p] if policy == "layers" else 0, -m[n], *p[:3], layers[p]) for p, m in points.items() if m[n]), default=None)
+                if best:
+                    expected[g, field] = (best[4], best[5])
+        assert got == expected
+
+
+def test_a_field_is_filled_from_the_second_layer(spark):
+    rows = [(1, 1, 1, 9, 1, 1, 0), (1, 2, 2, 5, 0, 0, 1), (1, 3, 3, 2, 0, 0, 1)]  # each dominates the next
+    df = spark.createDataFrame(rows, "g int, id long, trust int, t int, a int, b int, c int")
+    for policy in ("layers", "rank"):
+        got = skyline_survivors(df, "g", "id", F.col("trust"), F.timestamp_seconds(F.col("t")), {k: F.col(k) for k in "abc"}, policy)
+        assert {(x["field"], x["id"], x["layer"]) for x in got.collect()} == {("a", 1, 1), ("b", 1, 1), ("c", 2, 2)}
+
+
+def test_policies_differ_where_a_trusted_record_is_dominated(spark):
+    rows = [(1, 1, 1, 9, 1, 0), (1, 2, 1, 5, 0, 1), (1, 3, 2, 9, 1, 1)]  # 1 dominates 2; 3 is complete
+    df = spark.createDataFrame(rows, "g int, id long, trust int, t int, a int, b int")
+    of = lambda policy: {x["field"]: x["id"] for x in skyline_survivors(df, "g", "id", F.col("trust"), F.timestamp_seconds(F.col("t")), {k: F.col(k) for k in "ab"}, policy).collect()}
+    assert of("layers") == {"a": 1, "b": 3} and of("rank") == {"a": 1, "b": 2}
