@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinspark.functions.normalize import cache_key
 from kinspark.operators.dedupe import has_text, keep_first
+from kinspark.session import materialize
 
 RESULT = "key string, is_relevant boolean, category string, reasoning string, confidence double, metal_intensity string, key_activities array<string>"
 
@@ -57,7 +58,9 @@ def classify_cached(df: DataFrame, cache: DataFrame, classify: Callable[[pd.Data
 
     Rows without a name are dropped. Each distinct ``name|country`` that the cache lacks
     goes to ``classify`` once, in at most ``parallel`` tasks; it gets (key, name, country)
-    and gives RESULT. A batch that fails counts as irrelevant and is not cached. Relevant
+    and gives RESULT. Of a batch that fails every row is tried alone; rows that fail count
+    as irrelevant and are not cached. The new rows are written once and read from there, so
+    that nothing is classified twice. Relevant
     rows from ``threshold`` on stay, one a name and country.
     """
     named = df.filter(has_text(F.col("name"))).withColumn("key", cache_key(F.col("name"), F.col("country")))
@@ -67,10 +70,16 @@ def classify_cached(df: DataFrame, cache: DataFrame, classify: Callable[[pd.Data
         for pdf in batches:
             try:
                 yield classify(pdf)
-            except Exception:  # noqa: BLE001
                 continue
-
-    fresh = misses.repartition(parallel).mapInPandas(run, RESULT)
+            except Exception:  # noqa: BLE001
+                rows = [pdf.iloc[[i]] for i in range(len(pdf))] if len(pdf) > 1 else []
+            for row in rows:
+                try:
+                    yield classify(row)
+                except Exception:  # noqa: BLE001
+                    continue
+
+    fresh = materialize(misses.repartition(parallel).mapInPandas(run, RESULT), "classified")
     known = cache.select(*[x.split()[0] for x in RESULT.split(", ")]).unionByName(fresh)
     joined = named.join(known.select("key", "is_relevant", "category", "confidence"), "key", "left")
     relevant = joined.filter(F.col("is_relevant") & (F.col("confidence") >= threshold)).withColumnRenamed("category", "value_chain_category")

@@ -14,9 +14,7 @@ from kinspark.functions.similarity import weighted_ratio_udf
 #: Names that people use for countries beside the official ones.
 COLLOQUIAL = {
     "england": "GB", "scotland": "GB", "wales": "GB", "northern ireland": "GB", "holland": "NL", "ivory coast": "CI", "cote d'ivoire": "CI",
-    "laos": "LA", "moldova": "MD", "russia": "RU", "south korea": "KR", "north korea": "KP", "vietnam": "VN", "viet nam": "VN", "syria": "SY",
-    "palestine": "PS", "bolivia": "BO", "brunei": "BN", "cape verde": "CV", "czechia": "CZ", "eswatini": "SZ", "micronesia": "FM",
-    "vatican": "VA", "venezuela": "VE", "uae": "AE", "emirates": "AE", "myanmar": "MM", "burma": "MM", "taiwan": "TW", "kosovo": "XK",
+    "viet nam": "VN", "palestine": "PS", "vatican": "VA", "uae": "AE", "emirates": "AE", "burma": "MM", "kosovo": "XK",
     "usa": "US", "u.s.": "US", "u.s.a.": "US", "uk": "GB", "u.k.": "GB", "great britain": "GB", "america": "US", "united states of america": "US",
 }
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it")

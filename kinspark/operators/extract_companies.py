@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinspark.functions.spans import keep_first, spans
-from kinspark.operators.resolve import ranked_matches
+from kinspark.operators.resolve import LEAD, SURE, ranked_matches
 
 #: What a mention looks like, words that start none, and words that point to a country.
 LEGAL_MENTION = r"(?i)\b([A-Z][A-Za-z0-9&\-]+(?:\s+[A-Z][A-Za-z0-9&\-]+)*)\s+(Inc\.?|Ltd\.?|Corp\.?|Corporation|Limited|Company|plc|LLC|L\.L\.C\.)\b"
@@ -50,7 +50,7 @@ def inferred_country(text: Column) -> Column:
     return F.array_min(votes)["c"]
 
 
-def document_companies(docs: DataFrame, catalogue: DataFrame, id_col: str, text_col: str, min_confidence: float = 0.75, fallback: bool = True) -> DataFrame:
+def document_companies(docs: DataFrame, catalogue: DataFrame, id_col: str, text_col: str, min_confidence: float = 0.75, fallback: str = "auto") -> DataFrame:
     """Companies mentioned in each text: every distinct (mention, country) is resolved once and joined back.
 
     One row a text and company, at its first mention, in the order of first occurrence.
@@ -58,11 +58,9 @@ def document_companies(docs: DataFrame, catalogue: DataFrame, id_col: str, text_
     country = docs.select(F.col(id_col), inferred_country(F.col(text_col)).alias("hint"))
     found = document_mentions(docs, id_col, text_col).join(country, id_col)
     asked = found.select(F.col("mention").alias("name"), F.col("hint").alias("country")).distinct().withColumn("query_id", F.xxhash64("name", F.coalesce("country", F.lit(""))))
-    ranked = ranked_matches(asked, catalogue, 1, fallback)
-    second = ranked_matches(asked, catalogue, 2, fallback).filter("rank = 2").select("query_id", F.col("score").alias("second"))
     sure = (
-        ranked.join(second, "query_id", "left")
-        .filter((F.col("score") >= 88) & (F.col("score") - F.coalesce("second", F.lit(0.0)) >= 6) & (F.col("score") / 100 >= min_confidence))
+        ranked_matches(asked, catalogue, 2, fallback)
+        .filter((F.col("rank") == 1) & (F.col("score") >= SURE) & (F.col("gap") >= LEAD) & (F.col("score") / 100 >= min_confidence))
         .select("query_id", F.col("name").alias("company"), "country", "lei", "wikidata_qid", "score")
     )
     keyed = found.withColumn("query_id", F.xxhash64("mention", F.coalesce("hint", F.lit("")))).drop("hint")

@@ -20,7 +20,7 @@ def link_exact(listings: DataFrame, registry: DataFrame, order: str) -> tuple[Da
 
     Of registry rows with one name the last by ``order`` counts.
     """
-    index = keep_first(_keyed(registry), ["country", "canon"], [F.desc(order)]).select("country", "canon", F.col(order).alias("match_key"), F.col("name").alias("match_name"))
+    index = keep_first(_keyed(registry), ["country", "canon"], [F.desc(order), F.col("name")]).select("country", "canon", F.col(order).alias("match_key"), F.col("name").alias("match_name"))
     asked = _keyed(listings)
     matches = asked.join(index, ["country", "canon"]).withColumn("score", F.lit(100.0)).withColumn("match_type", F.lit("exact"))
     return matches, asked.join(index.select("country", "canon"), ["country", "canon"], "left_anti")
@@ -32,7 +32,7 @@ def link_fuzzy(rest: DataFrame, registry: DataFrame, order: str, threshold: floa
     Names are compared once per distinct (country, name) of both sides. ``block_on_word``
     only compares names with a common word, for registries too large for a country scan.
     """
-    index = keep_first(_keyed(registry), ["country", "canon"], [F.desc(order)]).select("country", F.col("canon").alias("other"), F.col(order).alias("match_key"), F.col("name").alias("match_name"))
+    index = keep_first(_keyed(registry), ["country", "canon"], [F.desc(order), F.col("name")]).select("country", F.col("canon").alias("other"), F.col(order).alias("match_key"), F.col("name").alias("match_name"))
     names = rest.select("country", "canon").distinct()
     if block_on_word:
         words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) > 2)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LISTING = "ticker string, name string, country string, exchange string, industry string, position long"
+LISTING = "ticker string, name string, country string, exchange string, industry string, path string, position long"
 
 
 def column_role(header: str) -> str | None:
@@ -91,22 +91,22 @@ def read_listing(spark: SparkSession, path: str, exchange: str, country: str, fo
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
-            for content in files["content"]:
+            for path, content in zip(files["path"], files["content"], strict=True):
                 rows = parse(content.decode("utf-8", "replace"))
                 yield pd.DataFrame(
-                    [(r.get("ticker"), r.get("name"), country, exchange, r.get("industry"), i) for i, r in enumerate(rows)],
-                    columns=["ticker", "name", "country", "exchange", "industry", "position"],
+                    [(r.get("ticker"), r.get("name"), country, exchange, r.get("industry"), path, i) for i, r in enumerate(rows)],
+                    columns=["ticker", "name", "country", "exchange", "industry", "path", "position"],
                 )
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return first_by_ticker(files.mapInPandas(run, LISTING))
 
 
-def first_by_ticker(listings: DataFrame) -> DataFrame:
-    """Listings with a usable ticker, the first row of each; ``position`` is the order of rows."""
+def first_by_ticker(listings: DataFrame, order: tuple[str, ...] = ("path", "position", "name")) -> DataFrame:
+    """Listings with a usable ticker, the first row of each by ``order``: pages by their paths, rows by their places in them."""
     usable = listings.withColumn("ticker", F.trim("ticker")).filter("ticker IS NOT NULL AND lower(ticker) NOT IN ('', 'nan')")
-    order = Window.partitionBy("ticker").orderBy("position", "name")
-    return usable.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n", "position")
+    ranked = Window.partitionBy("ticker").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return usable.withColumn("n", F.row_number().over(ranked)).filter("n = 1").drop("n", "path", "position")
 
 
 def union_listings(listings: list[DataFrame]) -> DataFrame:

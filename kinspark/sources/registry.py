@@ -70,7 +70,7 @@ class PagedRegistry(DataSource):
     """``spark.read.format("paged_registry")``: pages of a registry, one partition a run of pages.
 
     Options: ``path``, a folder of page_<n>.json files; ``pages_per_partition`` (10);
-    ``max_records``. A page whose file is missing ends the scan of its partition, so an
+    ``max_records``. All pages that are there are read, whatever their numbers, so an
     interrupted download is read as far as it came and resumed by adding files.
     """
 
@@ -92,14 +92,11 @@ class PagedReader(DataSourceReader):
         self.most = int(options["max_records"]) if "max_records" in options else None
 
     def partitions(self) -> list[InputPartition]:
-        pages = len(list(Path(self.folder).glob("page_*.json")))
-        return [InputPartition(i) for i in range(0, max(pages, 1), self.per)]
+        pages = sorted(Path(self.folder).glob("page_*.json"), key=lambda p: (len(p.name), p.name))
+        return [InputPartition(tuple(map(str, pages[i : i + self.per]))) for i in range(0, max(len(pages), 1), self.per)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for n in range(partition.value, partition.value + self.per):
-            file = Path(self.folder) / f"page_{n}.json"
-            if not file.exists():
-                return
+        for file in map(Path, partition.value):
             for item in json.loads(file.read_text())["data"]:
                 a = item.get("attributes") or {}
                 entity = a.get("entity") or {}

@@ -234,3 +234,59 @@ def test_empty_tables(spark, catalogue):
     assert resolve.resolve(spark.createDataFrame([(0, "A", None)], none.schema), catalogue.limit(0)).first()["decision"] == "no_match"
     assert profile.coverage(catalogue.limit(0), ["lei"]).first()["filled"] == 0
     assert countries.resolve_countries(none, "name", countries.country_dimension(spark)).count() == 0
+
+
+def _page(lei):
+    return json.dumps({"data": [{"attributes": {"lei": lei, "entity": {"legalName": {"name": lei}, "legalAddress": {"country": "US", "city": "X", "postalCode": "1", "addressLines": ["a"]}, "status": "ACTIVE"}}}]})
+
+
+def test_pages_behind_a_gap_are_read(spark, tmp_path):
+    for i in (0, 1, 3, 4, 25):
+        (tmp_path / f"page_{i}.json").write_text(_page(f"L{i}"))
+    from kinspark.sources.registry import read_paged
+
+    assert {r["lei"] for r in read_paged(spark, str(tmp_path)).collect()} == {"L0", "L1", "L3", "L4", "L25"}
+
+
+def test_the_first_page_has_the_ticker(spark, tmp_path):
+    from kinspark.sources.exchanges import read_listing
+
+    (tmp_path / "page_1.csv").write_text("Company name,ASX code\nOther,OTH\nFirst page name,ABC\n")
+    (tmp_path / "page_2.csv").write_text("Company name,ASX code\nSecond page name,ABC\n")
+    got = {r["ticker"]: r["name"] for r in read_listing(spark, str(tmp_path), "ASX", "AU").collect()}
+    assert got == {"ABC": "First page name", "OTH": "Other"}
+
+
+def test_one_bad_row_spoils_no_other_and_none_is_classified_twice(spark, tmp_path):
+    from kinspark.operators.classify import RESULT, classify_cached
+
+    log = tmp_path / "log"
+
+    def classifier(pdf):
+        if (pdf["name"] == "bad").any():
+            raise ValueError("no")
+        with log.open("a") as f:
+            f.writelines(f"{k}\n" for k in pdf["key"])
+        return pdf[["key"]].assign(is_relevant=True, category="c", reasoning="", confidence=0.9, metal_intensity="", key_activities=[[] for _ in range(len(pdf))])
+
+    df = spark.createDataFrame([(f"n{i}", "US") for i in range(20)] + [("bad", "US")], "name string, country string")
+    kept, fresh = classify_cached(df, spark.createDataFrame([], RESULT), classifier, parallel=1)
+    assert kept.count() == 20 and fresh.count() == 20
+    assert len(log.read_text().split()) == 20
+
+
+def test_fallback_by_words(spark, catalogue):
+    from kinspark.operators.resolve import ranked_matches
+
+    asked = spark.createDataFrame([(0, "The Tinto Rio", None), (1, "Glemcore", None), (2, "Qqq Www", None), (3, "Glencore", None)], "query_id long, name string, country string")
+    best = {f: {r["query_id"]: r["name"] for r in ranked_matches(asked, catalogue, 1, f).collect()} for f in ("all", "words", "none", "auto")}
+    assert set(best["none"]) == {3} and set(best["words"]) == {0, 1, 3} and set(best["all"]) == {0, 1, 2, 3} == set(best["auto"])
+    assert all(best["words"][i] == best["all"][i] for i in (0, 1, 3))
+
+
+def test_thresholds_and_hints_of_resolution(spark, catalogue):
+    from kinspark.operators.resolve import resolve
+
+    asked = spark.createDataFrame([(0, "Glencore", None, "Baar")], "query_id long, name string, country string, address_hint string")
+    row = resolve(asked, catalogue, sure=101.0).first()
+    assert row["decision"] == "needs_hint_or_llm" and row["query"]["address_hint"] == "Baar" and resolve(asked, catalogue).first()["decision"] == "auto_high_conf"
