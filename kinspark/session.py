@@ -77,7 +77,7 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     read of the written table instead of a replay of all rounds.
     """
     path = f"{shared_dir(df.sparkSession)}/kinspark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes, which have no dictionary
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kinspark_path = path
     return out
