@@ -39,10 +39,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     live = materialize(
         pairs.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges"
     )
-    labels = materialize(
-        live.select(F.explode(F.array("hi", "lo")).alias("vertex")).distinct().select("vertex", F.col("vertex").alias("component")),
-        "labels",
-    )
+    labels = None
     for _ in range(MAX_ROUNDS):
         open_edges = live.filter("hi <> lo")
         if open_edges.isEmpty():
@@ -57,21 +54,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct()
         )
         new_live = materialize(relabelled, "edges")
-        new_labels = materialize(
-            labels.join(roots.withColumnRenamed("node", "component"), "component", "left").select(
-                "vertex", F.coalesce("root", "component").alias("component")
-            ),
-            "labels",
-        )
-        for old in (live, labels, roots):
-            release(old)
-        live, labels = new_live, new_labels
+        if labels is None:
+            labels = _first_labels(live, roots)
+        else:
+            new = labels.join(roots.withColumnRenamed("node", "component"), "component", "left").select("vertex", F.coalesce("root", "component").alias("component"))
+            new = materialize(new, "labels")
+            release(labels)
+            release(roots)
+            labels = new
+        release(live)
+        live = new_live
     else:
         raise RuntimeError("components did not converge")
+    if labels is None:
+        return materialize(live.select(F.col("hi").alias("vertex"), F.col("lo").alias("component")), "labels")
     release(live)
     return labels
 
 
+def _first_labels(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(vertex, component) after the first round: every vertex of an open edge has its root, one that has only a loop is its own."""
+    labels = roots.select(F.col("node").alias("vertex"), F.col("root").alias("component"))
+    labels._kinspark_path = roots._kinspark_path
+    loops = edges.filter("hi = lo").select(F.col("hi").alias("vertex"), F.col("hi").alias("component"))
+    if loops.isEmpty():
+        return labels
+    return materialize(labels.unionByName(loops.join(labels, "vertex", "left_anti")), "labels")
+
+
 def _hook(open_edges: DataFrame) -> DataFrame:
     """(node, root) after hooking every node along its smallest edge and collapsing the trees.
 

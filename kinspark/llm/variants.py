@@ -130,9 +130,9 @@ def base_of() -> Column:
 
 
 def together(spelled: DataFrame) -> DataFrame:
-    """(a, b): the first form of a record and its other forms, once each."""
+    """(a, b): the first form of a record and its other forms; forms of several records several times."""
     lead = form_of("lead")
-    return spelled.filter(lead != F.col("form")).select(lead.alias("a"), F.col("form").alias("b")).distinct()
+    return spelled.filter(lead != F.col("form")).select(lead.alias("a"), F.col("form").alias("b"))
 
 
 def _entries(word: str, ends: bool) -> set:
@@ -257,7 +257,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(two: DataFrame, hot: int = HOT) -> DataFrame:
-    """(a, b): forms that are variants of each other.
+    """(a, b): forms that are variants of each other, some several times.
 
     The symmetric-delete index is kept by block: the forms that share a word, and those
     that share the trade and an end of a word. A block's index maps every deletion of
@@ -285,7 +285,7 @@ def links(two: DataFrame, hot: int = HOT) -> DataFrame:
         rows = rows.join(large, "block", "left_anti").unionByName(parted)
     else:
         release(large)
-    return rows.repartition("block").sortWithinPartitions("block", "form").mapInArrow(_link, "a long, b long").distinct()
+    return rows.repartition("block").sortWithinPartitions("block", "form").mapInArrow(_link, "a long, b long")
 
 
 def _common(share: int):
