@@ -35,13 +35,6 @@ from kinspark.session import materialize
 TYPES = ("prose", "list", "table", "junk")
 #: Characters of text that are split into words at once.
 SLICE_CHARS = 4_000_000
-#: Words that carry a clause in English, German, French and Spanish.
-CLAUSE_WORDS = (
-    "is are was were been has have had can may will must that which be becomes comprises contains includes relates lies tends exceeds reached means shows influences lowers "
-    "wird werden wurde wurden ist sind hat kann dass daß sich umfasst betrifft enthält liegt führt beeinflusst dient bleibt sinkt "
-    "est sont été ont peut qui que être comprend concerne contient influence présente réduit permet "
-    "es son está están se ha han puede fue fueron ser comprende refiere contiene influye reduce mejora permite"
-).split()
 ABBREVIATION = r"(?:(?i:figs?|abb|nos?|art|ex|temp|etc|z\.B|bzw|vgl)\.\s)"
 OPENING = rf"^(?P<o>(?:{ABBREVIATION}|[^.!?\r\n]|[.!?][^\s])*(?:[.!?](?:\s+|$)|[\r\n]+))"
 LINE_END = r"[.!?:;]['\"”»)\]]*\s*$"
@@ -53,7 +46,7 @@ STRIPPED = ".,;:()[]\"'!?"
 
 SCHEMA = (
     "doc long, chars long, words long, mean_word double, symbol_share double, letter_share double, lines long, ended_lines double, "
-    "common_share double, distinct_share double, body_words long, body_common double, body_common_kinds long, clause_share double, "
+    "common_share double, distinct_share double, body_words long, body_common double, body_common_kinds long, "
     "garbled_share double, markup_share double, longest_share double, delimited_lines double, labelled_lines double, "
     "words_a_line double, words_a_sentence double, separator_share double, distinct_lines double, variety double"
 )
@@ -72,7 +65,7 @@ def _offsets(lists: pa.ListArray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)
 
 
-def _measure(docs: pa.Array, texts: pa.Array, common: frozenset[str], clause: frozenset[str]) -> pa.RecordBatch:
+def _measure(docs: pa.Array, texts: pa.Array, common: frozenset[str]) -> pa.RecordBatch:
     texts = pc.utf8_trim_whitespace(pc.fill_null(texts, ""))
     chars = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.float64)
     n = len(texts)
@@ -126,7 +119,6 @@ def _measure(docs: pa.Array, texts: pa.Array, common: frozenset[str], clause: fr
         _share(solid - letters - digits, solid), _share(letters, solid), lines.astype(np.int64), line_share(LINE_END),
         _share(_sums(of(is_common), at), words), _share(distinct.astype(np.float64), words), body_words.astype(np.int64),
         _share(within(of(is_common)), body_words), common_kinds.astype(np.int64),
-        _share(within(of(flag(lambda w: w in clause))), body_words),
         _share(within(of(flag(lambda w: GARBLED.search(w) is not None))), body_words),
         _share(within(of(flag(lambda w: MARKUP.match(w) is not None))), body_words),
         _share(within(of(flag(lambda w: len(w) > 40))), body_words),
@@ -140,7 +132,7 @@ def _measure(docs: pa.Array, texts: pa.Array, common: frozenset[str], clause: fr
 
 def text_statistics(docs: DataFrame, common_words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The figures of SCHEMA for every row; ``doc`` is the id."""
-    common, clause = frozenset(w.lower() for w in common_words), frozenset(CLAUSE_WORDS)
+    common = frozenset(w.lower() for w in common_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,7 +142,7 @@ def text_statistics(docs: DataFrame, common_words: list[str], id_col: str = "doc
                 before = ends[at - 1] if at else 0
                 stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_CHARS, side="right")))
                 part = b.slice(at, stop - at)
-                yield _measure(part.column(0), part.column(1), common, clause)
+                yield _measure(part.column(0), part.column(1), common)
                 at = stop
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
@@ -166,24 +158,68 @@ class Labeller:
     no: Column = field(default_factory=lambda: F.lit(False))
 
 
-def labellers() -> list[Labeller]:
+#: Figures of which the median over all texts is the measure, and shares that are split in two classes.
+TYPICAL = ("body_common", "richness", "words_a_sentence", "words_a_line", "variety")
+SPLIT = ("garbled_share", "delimited_lines", "labelled_lines", "separator_share", "distinct_lines", "longest_share", "symbol_share")
+BINS = 100
+
+
+def richness(usual: float) -> Column:
+    """Kinds of common words in the body for its length; beyond the ``usual`` length few new ones come."""
+    return F.col("body_common_kinds") / F.sqrt(F.greatest(F.least(F.col("body_words"), F.lit(max(usual, 1.0))), F.lit(1.0)))
+
+
+def split_point(counts: np.ndarray) -> float:
+    """Where a histogram over 0 to 1 falls into two classes of the least variance within; 0.5 where it has one value only."""
+    centre = (np.arange(len(counts)) + 0.5) / len(counts)
+    below, mass = np.cumsum(counts, dtype=np.float64), np.cumsum(counts * centre)
+    total = below[-1] if len(below) else 0.0
+    within = (below > 0) & (below < total)
+    if not within.any():
+        return 0.5
+    between = np.zeros(len(counts))
+    between[within] = (mass[-1] * below[within] / total - mass[within]) ** 2 / (below[within] * (total - below[within]))
+    return (int(np.argmax(between)) + 1) / len(counts)
+
+
+def learn_thresholds(statistics: DataFrame) -> dict[str, float]:
+    """The medians of TYPICAL and the split points of SPLIT over all texts with words.
+
+    Histograms of a fixed number of bins are what reaches the driver.
+    """
+    real = statistics.filter("words > 0")
+    usual = float(real.agg(F.percentile_approx("body_words", 0.5, 1000)).first()[0] or 0)
+    real = real.withColumn("richness", richness(usual))
+    medians = real.agg(*[F.percentile_approx(c, 0.5, 1000).alias(c) for c in TYPICAL]).first()
+    bins = [F.struct(F.lit(c).alias("c"), F.least((F.col(c) * BINS).cast("int"), F.lit(BINS - 1)).alias("bin")) for c in SPLIT]
+    counted = real.select(F.inline(F.array(*bins))).groupBy("c", "bin").count().collect()
+    counts = {c: np.zeros(BINS) for c in SPLIT}
+    for r in counted:
+        counts[r["c"]][r["bin"]] += r["count"]
+    return {"usual": usual} | {c: float(medians[c] or 0.0) for c in TYPICAL} | {c: split_point(h) for c, h in counts.items()}
+
+
+def labellers(at: dict[str, float]) -> list[Labeller]:
+    """The labelling functions, their thresholds taken from ``learn_thresholds``: shares of what is typical, and split points."""
     c = F.col
     prose, table, lists, junk = (frozenset([t]) for t in TYPES[:1] + ("table", "list", "junk"))
+    typical = lambda name, share: c(name) >= share * at[name]
     enough = c("body_words") >= 12
-    repeated = (c("variety") < 1.3) & (c("words") > 12) | (c("distinct_lines") < 0.6) & (c("lines") > 5)
-    garbled = c("garbled_share") >= 0.35
-    clean = (c("garbled_share") < 0.3) & ~repeated & (c("words_a_line") >= 4)
-    few_lines = clean & (c("labelled_lines") < 0.3) & (c("delimited_lines") < 0.3)
-    odd = (c("words") == 0) | garbled | repeated | (c("markup_share") >= 0.3) | (c("longest_share") >= 0.3)
+    rich = richness(at["usual"])
+    repeated = ~typical("variety", 0.4) & (c("words") > 12) | (c("distinct_lines") < at["distinct_lines"]) & (c("lines") > 5)
+    garbled = c("garbled_share") >= at["garbled_share"]
+    clean = ~garbled & ~repeated & typical("words_a_line", 0.15)
+    few_lines = clean & (c("labelled_lines") < at["labelled_lines"]) & (c("delimited_lines") < at["delimited_lines"])
+    odd = (c("words") == 0) | garbled | repeated | (c("markup_share") >= 0.3) | (c("longest_share") >= at["longest_share"]) | (c("symbol_share") >= at["symbol_share"]) & (c("body_common_kinds") < 3)
     return [
-        Labeller("clauses", prose, clean & (c("clause_share") >= 0.012) & (c("body_common_kinds") >= 3), garbled | enough & (c("clause_share") < 0.004)),
-        Labeller("common words", prose, clean & (c("labelled_lines") < 0.6) & (c("body_common") >= 0.25) & (c("body_common_kinds") >= 5), (c("body_common") < 0.07) | enough & (c("body_common_kinds") < 3)),
-        Labeller("sentences", prose, c("words_a_sentence").between(7, 60) & few_lines & (c("body_common_kinds") >= 3), (c("words_a_sentence") < 6) | (c("words_a_sentence") > 120)),
-        Labeller("lines", prose, few_lines & (c("words_a_line") >= 11) & (c("ended_lines") > 0.2), (c("words_a_line") < 6) & (c("lines") > 3)),
-        Labeller("delimiters", table, (c("delimited_lines") >= 0.6) & (c("lines") > 2), (c("delimited_lines") < 0.1) & (c("lines") > 2)),
-        Labeller("labels", lists, (c("labelled_lines") >= 0.6) & (c("lines") > 2) & (c("delimited_lines") < 0.5)),
-        Labeller("separators", lists | table, c("separator_share") >= 0.09),
-        Labeller("junk", junk, odd, (c("letter_share") > 0.7) & (c("variety") > 3) & (c("distinct_lines") > 0.8) & (c("garbled_share") < 0.1)),
+        Labeller("common words", prose, few_lines & typical("body_common", 0.6) & (c("body_common_kinds") >= 3), ~typical("body_common", 0.15)),
+        Labeller("kinds of common words", prose, clean & (rich >= 0.6 * at["richness"]), enough & (rich < 0.4 * at["richness"])),
+        Labeller("sentences", prose, typical("words_a_sentence", 0.5) & ~typical("words_a_sentence", 4.0) & few_lines & (c("body_common_kinds") >= 3), ~typical("words_a_sentence", 0.4) | typical("words_a_sentence", 8.0)),
+        Labeller("lines", prose, few_lines & typical("words_a_line", 0.4) & (c("ended_lines") > 0.2), ~typical("words_a_line", 0.22) & (c("lines") > 3)),
+        Labeller("delimiters", table, (c("delimited_lines") >= at["delimited_lines"]) & (c("lines") > 2), (c("delimited_lines") < at["delimited_lines"] / 4) & (c("lines") > 2)),
+        Labeller("labels", lists, (c("labelled_lines") >= 2 * at["labelled_lines"]) & (c("lines") > 2) & (c("delimited_lines") < at["delimited_lines"])),
+        Labeller("separators", lists | table, c("separator_share") >= at["separator_share"] / 3),
+        Labeller("junk", junk, odd, (c("letter_share") > 0.7) & typical("variety", 0.4) & (c("distinct_lines") > at["distinct_lines"]) & (c("garbled_share") < at["garbled_share"] / 3)),
     ]
 
 
@@ -222,9 +258,9 @@ def learn(votes: np.ndarray, counts: np.ndarray, targets: np.ndarray, rounds: in
     return model
 
 
-def text_types(statistics: DataFrame) -> DataFrame:
-    """Statistics with ``text_type`` and the posteriors ``p_prose`` ... ``p_junk``."""
-    rules = labellers()
+def text_types(statistics: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """Statistics with ``text_type`` and the posteriors ``p_prose`` ... ``p_junk``; thresholds are learnt from all texts, or given."""
+    rules = labellers(thresholds or learn_thresholds(statistics))
     vote = lambda r: F.when(r.yes, "+").when(r.no, "-").otherwise("0")
     voted = statistics.withColumn("votes", F.when(F.col("chars") > 0, F.concat(*map(vote, rules))))
     patterns = voted.filter("votes IS NOT NULL").groupBy("votes").count().collect()  # at most 3 ** len(rules)
@@ -239,6 +275,6 @@ def text_types(statistics: DataFrame) -> DataFrame:
     return out.drop("type")
 
 
-def documents_by_type(docs: DataFrame, common_words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def documents_by_type(docs: DataFrame, common_words: list[str], id_col: str = "doc_id", text_col: str = "text", thresholds: dict[str, float] | None = None) -> DataFrame:
     """``text_types`` of the documents' statistics, measured once and written."""
-    return text_types(materialize(text_statistics(docs, common_words, id_col, text_col), "statistics"))
+    return text_types(materialize(text_statistics(docs, common_words, id_col, text_col), "statistics"), thresholds)

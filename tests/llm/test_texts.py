@@ -82,12 +82,34 @@ OTHER = {
 }
 
 
+#: What the thresholds are on a table of patents; a handful of texts has no distributions.
+USUAL = {
+    "usual": 311.0, "body_common": 0.415, "richness": 1.843, "words_a_sentence": 13.9, "words_a_line": 26.3, "variety": 8.08, "garbled_share": 0.29,
+    "delimited_lines": 0.44, "labelled_lines": 0.26, "separator_share": 0.27, "distinct_lines": 0.59, "longest_share": 0.44, "symbol_share": 0.26,
+}
+
+
+def test_thresholds_come_from_the_texts(spark, sf):
+    import numpy as np
+
+    counts = np.zeros(100)
+    counts[[3, 4, 5]], counts[[70, 71]] = 500, 40
+    assert 0.06 <= quality.split_point(counts) <= 0.70 and quality.split_point(np.zeros(100)) == 0.5 and quality.split_point(np.eye(100)[7]) == 0.5
+    words = [r["word"] for r in spark.read.parquet(f"{sf}/common_words.parquet").collect()]
+    stats = quality.text_statistics(spark.read.parquet(f"{sf}/documents.parquet"), words)
+    learnt = quality.learn_thresholds(stats)
+    assert set(learnt) == set(USUAL) and all(0 < v for v in learnt.values())
+    seen = sorted(r["words_a_line"] for r in stats.filter("words > 0").collect())
+    assert learnt["words_a_line"] == pytest.approx(seen[(len(seen) - 1) // 2], rel=0.05)
+    assert quality.learn_thresholds(stats.limit(0))["usual"] == 0.0
+
+
 def test_text_types(spark):
     words = "the a is that on it has been and can be before to one two which are so of in for with".split()
     prose = [PROSE.replace("pump", f"pump {i}").replace("valve", f"valve {i % 7}") for i in range(80)]
     texts = [*prose, *OTHER.values(), None, "", " \n ", *OTHER.values()]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, words int")
-    got = {r["doc"]: r for r in quality.documents_by_type(docs, words).collect()}
+    got = {r["doc"]: r for r in quality.documents_by_type(docs, words, thresholds=USUAL).collect()}
     assert len(got) == len(texts)
     assert all(got[i]["text_type"] == "prose" for i in range(80))
     for k, name in enumerate(OTHER):
