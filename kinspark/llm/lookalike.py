@@ -48,7 +48,7 @@ LATIN_GREEK = (
 SAME_SHAPE = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>")
 HYPHENS = ("-", "‐", "‑", "−", "﹣")
 #: Texts with none but these characters hold nothing to rewrite.
-PLAIN = r"^[\x00-\x7FÀ-ľŁ-ňŊ-ž]*$"
+PLAIN = r"^[\x00-\x7FÀ-ıĴ-ľŁ-ňŊ-ž]*$"
 
 
 def script(ch: str) -> str:

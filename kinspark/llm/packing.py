@@ -33,8 +33,8 @@ from pyspark.sql.window import Window
 
 from kinspark.session import materialize
 
-#: Parts in which the items of one size are ranked.
-PARTS = 32
+#: Parts in which the items of one size are ranked, at least, and the rows a part has on the average at most.
+PARTS, ROWS_A_PART = 32, 4_000_000
 #: Packs are few and of bounded capacity; the plan is held by the driver and every worker.
 MAX_TOTAL_CAPACITY = 1_000_000
 
@@ -113,8 +113,10 @@ def fill_containers(items: DataFrame, packs: list[tuple[str, int]], id_col: str,
     """(pack_name, id, piece, size, container) of every item, or piece of it, under every pack."""
     if sum(c for _, c in packs) > MAX_TOTAL_CAPACITY or any(c <= 0 for _, c in packs):
         raise ValueError("capacities must be positive and small enough to plan")
-    parted = pieces(items, packs, id_col, size_col).withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(PARTS)))
-    parted = materialize(parted, "pieces")
+    parted = materialize(pieces(items, packs, id_col, size_col), "pieces")
+    # one size may be that of any share of the pieces
+    parts = max(PARTS, -(-parted.count() // ROWS_A_PART))
+    parted = parted.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(parts)))
     counted = parted.groupBy("pack", "size", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("pack", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(counted.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))), "starts")

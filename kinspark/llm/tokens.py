@@ -166,6 +166,10 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("doc", id_col)
 
 
+#: Tokens that are decoded in one row.
+DECODED = 4096
+
+
 def vocabulary(like: DataFrame, ranks: str = DEFAULT_RANKS) -> DataFrame:
     """(id, piece in hexadecimal digits) of the vocabulary, whose size is fixed."""
     rows = [(i, piece.hex()) for piece, i in load_ranks(ranks).items()]
@@ -176,10 +180,12 @@ def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "id
     """(id, text): the pieces of every list of ids, put together; an empty list gives an empty text.
 
     Each list is one row of the input with an id of its own. Ids outside the
-    vocabulary have no piece and are left out.
+    vocabulary have no piece and are left out. Pieces are put together in runs of
+    DECODED, then the runs, so that no task gathers the tokens of a long text one by one.
     """
-    exploded = encoded.select(F.col(id_col), F.posexplode(ids_col).alias("at", "id"))
+    exploded = encoded.select(F.col(id_col), F.posexplode(ids_col).alias("at", "id")).withColumn("run", F.floor(F.col("at") / DECODED))
     pieces = exploded.join(F.broadcast(vocabulary(encoded, ranks)), "id")
-    joined = pieces.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("p"))
-    texts = joined.select(id_col, F.decode(F.unhex(F.array_join("p.piece", "")), "UTF-8").alias("text"))
+    put = lambda order, what: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, what))), lambda x: x[what]), "")
+    runs = pieces.groupBy(id_col, "run").agg(put("at", "piece").alias("part"))
+    texts = runs.groupBy(id_col).agg(put("run", "part").alias("whole")).select(id_col, F.decode(F.unhex("whole"), "UTF-8").alias("text"))
     return encoded.select(id_col).join(texts, id_col, "left").select(id_col, F.coalesce("text", F.lit("")).alias("text"))

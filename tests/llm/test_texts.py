@@ -124,6 +124,7 @@ def test_text_types(spark):
 
 def test_lookalikes(spark):
     cases = {
+        "Ĳssel": "IJssel", "ĳs": "ijs",
         "Ａpple　Inc．": "Apple Inc.", "Café": "Café", "Zero​Width": "ZeroWidth", "Non break": "Non break", "Grеаtеr": "Greater",
         "Oοps": "Oops", "ﬁnance": "finance", "no‑break": "no-break", "soft­hyphen": "softhyphen", "𝐁old": "Bold", "Energy Ⅱ DRⅣE": "Energy II DRIVE", "Дунавa": "Дунава",
     }
