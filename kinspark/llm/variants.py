@@ -20,8 +20,8 @@ consolidation.
 
 Scale: a hot name is one form however many records bear it. Generic words are set aside
 before blocking. Forms of an index entry are compared until they are connected. Blocks of
-more than HOT rows are found first and parted in Spark, a row for each entry, so that no
-task holds a block of unbounded size; nothing is left out by that.
+more than HOT rows are found first and parted in Spark, a row for each entry, so that a
+task holds the rows of an entry and no index of a block; nothing is left out by that.
 
 Defined results: records without a usable spelling match nothing; a record whose
 country is unknown and cannot be told from its city belongs to the country that all
@@ -55,8 +55,10 @@ LONG = 64
 SINGLE = 6
 #: Rows of an index entry beyond which it is parted by the other word.
 MANY = 32
-#: Rows of a block beyond which Spark parts it.
-HOT = 100_000
+#: Rows of a block beyond which Spark parts it; a task holds about 10 kB for each.
+HOT = 20_000
+#: Failed comparisons that a block remembers at once.
+MEMO = 100_000
 
 
 def abbreviates(a: str, b: str) -> bool:
@@ -148,13 +150,14 @@ def _meet(rows: list[tuple]) -> bool:
     return not _entries(u, same).isdisjoint(_entries(v, same))
 
 
-def _pairs_of_block(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+def _pairs_of_block(rows: list[tuple], part: bool = False) -> Iterator[tuple[int, int]]:
     """Aligned pairs among the rows (form, word, x, y, trade) of a block that connect all rows which are aligned and meet under an entry.
 
     An entry keeps its rows in groups that are connected already. A row is compared with
     every group until one of the group's rows is aligned with it. Where the other words of
     a block differ, only slips in both words are sought, and an entry of more than MANY
-    rows is parted by the entries of the other word.
+    rows is parted by the entries of the other word. A ``part`` of a block is the rows
+    of one entry already, so that they need no index of others.
     """
     if len(rows) == 2:
         (a, u, xa, ya, s), (b, v, xb, yb, t) = rows
@@ -180,6 +183,8 @@ def _pairs_of_block(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         p, q = rows[i], rows[j]
         if p[0] == q[0] or aligned(p[2], p[3], q[2], q[3], p[4] != 0 and p[4] == q[4]):
             return True
+        if len(apart) >= MEMO:
+            apart.clear()
         apart.add((i, j))
         return False
 
@@ -212,7 +217,7 @@ def _pairs_of_block(rows: list[tuple]) -> Iterator[tuple[int, int]]:
                 yield form, rows[same][0]
             root[top(i)] = top(same)
             continue
-        for entry in _entries(word, not several):
+        for entry in ("",) if part else _entries(word, not several):
             if entry in parted:
                 for end in _entries(others[i], False):
                     yield from met(i, (entry, end))
@@ -227,7 +232,7 @@ def _pairs_of_block(rows: list[tuple]) -> Iterator[tuple[int, int]]:
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of aligned forms; the rows of a block follow each other, also from batch to batch."""
-    block, waiting = None, []
+    block, waiting, part = None, [], False
 
     def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([f(p) for p in found], pa.int64()) for f in (min, max)], names=["a", "b"])
@@ -242,18 +247,18 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone[0] = alone[-1] = False
         kept = batch.filter(pa.array(~alone)) if alone.any() else batch
         blocks = kept.column(0).to_numpy()
-        rows = list(zip(*[c.to_pylist() for c in kept.columns[1:]], strict=True))
+        rows, parts = list(zip(*[c.to_pylist() for c in kept.columns[1:-1]], strict=True)), kept.column(kept.num_columns - 1)
         starts = np.concatenate(([0], np.nonzero(np.diff(blocks))[0] + 1)).tolist()
         found: list[tuple[int, int]] = []
         for start, stop in zip(starts, [*starts[1:], len(blocks)], strict=True):
             if blocks[start] != block:
                 if len(waiting) > 1:
-                    found += _pairs_of_block(waiting)
-                block, waiting = blocks[start], []
+                    found += _pairs_of_block(waiting, part)
+                block, waiting, part = blocks[start], [], parts[start].as_py()
             waiting += rows[start:stop]
         yield out(found)
     if len(waiting) > 1:
-        yield out(list(_pairs_of_block(waiting)))
+        yield out(list(_pairs_of_block(waiting, part)))
 
 
 def links(two: DataFrame, hot: int = HOT) -> DataFrame:
@@ -279,13 +284,14 @@ def links(two: DataFrame, hot: int = HOT) -> DataFrame:
     # a block of more rows than that has more than a task's share of them in some task
     share = hot // max(rows.rdd.getNumPartitions(), 1)
     large = materialize(rows.select("block").mapInArrow(_common(share), "block long").distinct(), "hotblocks")
+    whole = rows.withColumn("part", F.lit(False))
     if not large.isEmpty():
         # rows that can be aligned have an entry in common
         parted = rows.join(large, "block", "left_semi").mapInArrow(_spread, "block long, form long, word string, x string, y string, trade int")
-        rows = rows.join(large, "block", "left_anti").unionByName(parted)
+        whole = whole.join(large, "block", "left_anti").unionByName(parted.withColumn("part", F.lit(True)))
     else:
         release(large)
-    return rows.repartition("block").sortWithinPartitions("block", "form").mapInArrow(_link, "a long, b long")
+    return whole.repartition("block").sortWithinPartitions("block", "form").mapInArrow(_link, "a long, b long")
 
 
 def _common(share: int):

@@ -257,3 +257,39 @@ def test_all_spellings_of_a_record_tie_sources(companies, country_aliases, gener
     ]
     got = {(r["rec_id_a"], r["rec_id_b"]) for r in match_sources(companies(*rows), country_aliases, generic=GENERIC).collect()}
     assert got == {(a, b) for a in range(1, 7) for b in range(a + 1, 7) if rows[a - 1]["source"] != rows[b - 1]["source"]}
+
+
+def test_memory_of_a_block_is_bounded():
+    import random
+    import tracemalloc
+
+    r = random.Random(11)
+    words = ["velm" + "".join(r.choices("abcdefghiklmnoprstuvz", k=8)) for _ in range(700)]  # all meet, none is aligned
+    rows = [(i, w, w, "mitusa", 0) for i, w in enumerate(words)]
+    for part in (False, True):
+        tracemalloc.start()
+        assert not list(_pairs_of_block(rows, part))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 17e6
+
+
+def test_parts_of_a_block_give_the_same():
+    import random
+
+    r = random.Random(13)
+    for others in (["mitusa"], ["mitusa", "mitusas", "mitsa"]):
+        words = ["".join(w[:i] + r.choice(["", c, c + w[i]]) + w[i + 1 :]) for w in r.choices(["velmora", "kelvaro", "velm"], k=200) for i, c in [(r.randrange(len(w)), r.choice("abz"))]]
+        rows = [(i, w, w, r.choice(others), 1) for i, w in enumerate(words)]
+
+        def connected(pairs):
+            root = list(range(len(rows)))
+            for a, b in pairs:
+                root = [root[a] if x == root[b] else x for x in root]
+            return {frozenset(i for i, x in enumerate(root) if x == y) for y in root}
+
+        parts = {}
+        for row in rows:
+            for e in _entries(row[1], len(others) == 1):
+                parts.setdefault(e, []).append(row)
+        assert connected(_pairs_of_block(rows)) == connected(p for part in parts.values() for p in _pairs_of_block(part, True))
