@@ -88,7 +88,7 @@ def cascade(spelled: DataFrame) -> DataFrame:
     # a form without a country or only of aliases never leads another: it could not join further
     counted = spelled.groupBy("form").agg(F.count_if((F.col("country") != "") & (F.col("kind") < 2)).alias("support"))
     counted = materialize(counted.select("form", _rank("form").alias("rank")), "support")
-    two = materialize(pairs_of_words(spelled).filter("NOT joined").drop("joined"), "twowords")
+    two = materialize(pairs_of_words(spelled.filter("kind < 2")).filter("NOT joined").drop("joined"), "twowords")
     labels = components(together(spelled).unionByName(countries_of_lost(spelled)).unionByName(cuts(spelled, two)))
     # the best supported form of a component stands for all of it
     ranked = counted.join(labels.withColumnsRenamed({"vertex": "form", "component": "whole"}), "form", "left")

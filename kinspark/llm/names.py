@@ -286,12 +286,11 @@ def take_apart(generic: Generic, rec: pa.Array, country: pa.Array, name: pa.Arra
     first = np.full(len(lists), -1)
     first[owner[at][::-1]] = at[::-1]
     rows, leads = pa.array(at), first[owner[at]] == at
-    # the two words of an alias are not looked at later
     said = pc.if_else(turned, pc.binary_join_element_wise(y, x, " "), _joined(flat, n, " "))
     kept = [c.take(pa.array(owner[at], mask=~leads)) for c in kept]
     columns = [
         rec.take(pa.array(owner[at])), country.take(pa.array(owner[at])), pa.array(np.minimum(place, 2)[at].astype(np.int32)), pa.array(stem[at]),
-        pa.array(stem[first[owner[at]]]), pa.array(n[at].astype(np.int32)), said.take(pa.array(at, mask=(place[at] >= 2) & (n[at] == 2))), num.take(rows),
+        pa.array(stem[first[owner[at]]]), pa.array(n[at].astype(np.int32)), said.take(rows), num.take(rows),
         pa.array(trade[at].astype(np.int32)), pa.array(leads),
     ]
     schema = pa.schema([*_SPELLED, *((f"kept{i}", c.type) for i, c in enumerate(kept))])

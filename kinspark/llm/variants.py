@@ -3,7 +3,7 @@
 The spellings of all records are reduced to their distinct forms (country, numbers,
 core words). A form of any number of words is shown in rows (x, y): two words as they
 are; of more words each in turn as x and the others, sorted, as y, and so with two
-neighbours joined. Rows are put into blocks that share y (of two words also x), or the trade and an end of y.
+neighbours joined; a form of several trades has these rows for each. Rows are put into blocks that share y (of two words also x), or the trade and an end of y.
 Within a block, every row is entered in an index under its other word with no or one
 letter deleted: any two words one slip apart (a letter wrong, missing, doubled or
 swapped with its neighbour) meet under some entry, and a word cut short, or mistyped
@@ -97,8 +97,9 @@ def pairs_of_words(spelled: DataFrame) -> DataFrame:
     plain: the form has two words. both: x and y change places, and x + y is the
     smaller order; else y is all of the name but x. Of one word, y is empty.
     joined: x is two neighbours in one, as a blank may have been put into a word.
+    A form has a row for each trade that it is written with, and aliases are forms like names.
     """
-    some = spelled.filter("kind < 2").groupBy("form", base_of().alias("base"), "n", "words").agg(F.max("trade").alias("trade"))
+    some = spelled.select("form", base_of().alias("base"), "n", "words", "trade").distinct()
     two = some.filter("n = 2").select("form", "base", F.split_part("words", F.lit(" "), F.lit(1)).alias("x"), F.split_part("words", F.lit(" "), F.lit(2)).alias("y"), "trade", F.lit(True).alias("plain"), F.lit(True).alias("both"), F.lit(False).alias("joined"))
     one = some.filter("n = 1").select("form", "base", F.col("words").alias("x"), F.lit("").alias("y"), "trade", F.lit(False).alias("plain"), F.lit(False).alias("both"), F.lit(False).alias("joined"))
     more = some.filter("n > 2").select("form", "base", "trade", "n", F.split("words", " ").alias("w"))
@@ -271,7 +272,7 @@ def links(two: DataFrame, hot: int = HOT) -> DataFrame:
     base = F.col("base")
     traded = F.col("trade") != 0
     block = lambda when, word, kind, *parts: F.struct(F.when(when, F.xxhash64(base, F.lit(kind), *parts)).alias("block"), F.col(word).alias("word"))
-    start, end = (lambda c: F.substring(c, 1, SHORT)), (lambda c: F.right(c, F.lit(SHORT)))
+    start, end = (lambda c: F.substring(c, 1, END)), (lambda c: F.right(c, F.lit(END)))  # of words of seven letters a slip leaves one of them whole
     blocks = F.array(
         block(F.col("y") != "", "x", 1, "y"),
         block(F.col("both"), "y", 1, "x"),

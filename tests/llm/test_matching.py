@@ -293,3 +293,17 @@ def test_parts_of_a_block_give_the_same():
             for e in _entries(row[1], len(others) == 1):
                 parts.setdefault(e, []).append(row)
         assert connected(_pairs_of_block(rows)) == connected(p for part in parts.values() for p in _pairs_of_block(part, True))
+
+
+LINKED = {
+    # of one spelling in two trades either may be the one that agrees
+    "trades": ([{"name": "Kelvaro Mitusa Mining"}, {"name": "Kelvaro Mitusa Steel"}, {"name": "Kelvro Mitsa Mining"}, {"name": "Kelvaroo Mitussa Steel"}], [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]),
+    "a mistyped alias": ([{"name": "Sotulu Wapobe Ltd", "aliases": "['Kelvaro Mitusa Mining']"}, {"name": "Kelvrao Mitusa Mining Inc."}], [(0, 1)]),
+}
+
+
+@pytest.mark.parametrize("case", LINKED)
+def test_every_spelling_and_trade_is_compared(case, companies, country_aliases):
+    rows, expected = LINKED[case]
+    got = variant_pairs(companies(*(r | {"rec_id": i, "country": "US"} for i, r in enumerate(rows))), country_aliases, generic=GENERIC)
+    assert sorted(map(tuple, got.collect())) == expected
