@@ -290,3 +290,19 @@ def test_thresholds_and_hints_of_resolution(spark, catalogue):
     asked = spark.createDataFrame([(0, "Glencore", None, "Baar")], "query_id long, name string, country string, address_hint string")
     row = resolve(asked, catalogue, sure=101.0).first()
     assert row["decision"] == "needs_hint_or_llm" and row["query"]["address_hint"] == "Baar" and resolve(asked, catalogue).first()["decision"] == "auto_high_conf"
+
+
+def test_mentions_in_long_sentences(spark):
+    words = "alpha beta " * 20_000
+    docs = spark.createDataFrame([(1, words), (2, words + "Inc. of it"), (3, "Foo Ltd " * 20_000), (4, None), (5, "")], "doc_id long, text string")
+    got = [(r["doc_id"], r["start"], r["stop"]) for r in extract_companies.document_mentions(docs, "doc_id", "text").collect()]
+    assert sorted(got) == [(2, 0, len(words) + 3), (3, 0, 8 * 20_000 - 1)]
+
+
+def test_mentions_at_the_ends_of_words():
+    texts = {
+        "A Inc Foo Inc": ["Inc Foo Inc"], "3Com Inc.": [], "x-Foo Bar Ltd.y": ["x-Foo Bar Ltd."], "Foo L.L.C. Bar": [], "Foo L.L.C.b": ["Foo L.L.C."], "éFoo Ltd": [],
+        "é Foo Ltd, and Bar Company Inc of": ["Foo Ltd", "and Bar Company Inc"], "my company limited ltd. ltd plc": ["my company limited ltd", "ltd plc"], "Foo Bar BaZ": ["Foo Bar"], "The Big Cat": [], "AT&T Corp.": ["AT&T Corp"],
+    }
+    for text, expected in texts.items():
+        assert [text[a:b] for a, b in extract_companies.mentions(text)] == expected, text
