@@ -59,3 +59,9 @@ def test_all_metals_are_resolved(spark, sf):
     assert len(METALS) == 50
     got = {r["asked"]: r["name"] for r in entry.queries()["resolve_metals"](spark, sf).collect()}
     assert all(got[m[0]] == m[0] for m in METALS)
+
+
+@pytest.mark.parametrize("name", ["resolve_companies", "resolve_listings"])
+def test_plans_of_resolution_are_small(spark, sf, name):
+    plan = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000
