@@ -67,7 +67,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     else:
         raise RuntimeError("components did not converge")
     if labels is None:
-        return materialize(live.select(F.col("hi").alias("vertex"), F.col("lo").alias("component")), "labels")
+        labels = materialize(live.select(F.col("hi").alias("vertex"), F.col("lo").alias("component")), "labels")
     release(live)
     return labels
 

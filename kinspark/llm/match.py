@@ -45,7 +45,7 @@ from kinspark.functions.identifiers import source_key, with_usable_ids
 from kinspark.llm.consolidate import components
 from kinspark.llm.names import countries_of_lost, spellings
 from kinspark.llm.variants import END, SHORT, SINGLE, cuts, pairs_of_words, together
-from kinspark.session import hash_small_partitions, materialize, release
+from kinspark.session import hash_small_partitions, materialize, release, shuffles_removed
 
 MAX_DEPTH = 32
 
@@ -83,8 +83,8 @@ def _rank(form: str) -> Column:
     return F.shiftleft(F.least("support", F.lit(2**20 - 1)).cast("long"), 42).bitwiseOR(F.col(form).bitwiseAND(F.lit(2**42 - 1)))
 
 
-def cascade(spelled: DataFrame) -> DataFrame:
-    """(form, parent, rule): every resolved form, the form it joined, and by which rule."""
+def cascade(spelled: DataFrame) -> list[DataFrame]:
+    """(form, parent, rule): every resolved form, the form it joined, and by which rule; a written table for each rule."""
     # a form without a country or only of aliases never leads another: it could not join further
     counted = spelled.groupBy("form").agg(F.count_if((F.col("country") != "") & (F.col("kind") < 2)).alias("support"))
     counted = materialize(counted.select("form", _rank("form").alias("rank")), "support")
@@ -96,6 +96,7 @@ def cascade(spelled: DataFrame) -> DataFrame:
     led = ranked.join(leads, "whole", "left").select("form", F.coalesce("lead", "form").alias("lead"), F.coalesce("top", "rank").alias("rank"))
     led = materialize(led, "led")
     found = [led.filter("form <> lead").select("form", F.col("lead").alias("parent"), F.lit(1).alias("rule"))]
+    found[0]._kinspark_path = led._kinspark_path
     units = materialize(two.join(led, "form").drop("form", "plain").withColumnRenamed("lead", "form"), "units")
     for old in (counted, labels, two):
         release(old)
@@ -114,7 +115,7 @@ def cascade(spelled: DataFrame) -> DataFrame:
         joined = keyed(left).join(best, "key").filter("top > rank")
         found.append(materialize(joined.groupBy("form").agg(F.max_by("up", "top").alias("parent")).select("form", "parent", F.lit(rule).alias("rule")), f"pass{rule}"))
     release(two)
-    return reduce(DataFrame.unionByName, found)
+    return found
 
 
 def identifiers_of_forms(facts: DataFrame) -> DataFrame:
@@ -132,7 +133,8 @@ def rule_precision(links: DataFrame, labels: DataFrame) -> dict[int, float]:
     counted = both.groupBy("rule").agg(F.count_if(right).alias("r"), F.count_if(known).alias("n"))
     known, right = _known_right({c: (F.col(f"{c}_n") > 1, F.col(c) == F.col(f"{c}_high")) for c in ("lei", "qid")})
     alike = labels.agg(F.lit(0).alias("rule"), F.count_if(right).alias("r"), F.count_if(known).alias("n"))
-    shares = {r["rule"]: (r["r"] + 1) / (r["n"] + 2) for r in counted.unionByName(alike).collect()}  # one row a rule
+    with shuffles_removed(links.sparkSession):
+        shares = {r["rule"]: (r["r"] + 1) / (r["n"] + 2) for r in counted.unionByName(alike).collect()}  # one row a rule
     return {rule: shares.get(rule, 0.5) for rule in (0, 1, *key_rules())}
 
 
@@ -156,7 +158,9 @@ def roots(links: DataFrame) -> DataFrame:
         release(tree)
         tree = step
         if tree.filter("NOT done").isEmpty():
-            return tree.drop("done")
+            out = tree.drop("done")
+            out._kinspark_path = tree._kinspark_path
+            return out
     raise RuntimeError("trees did not collapse")
 
 
@@ -168,16 +172,20 @@ def placed_records(companies: DataFrame, country_aliases: DataFrame, least: floa
     keep = {k: F.nullif(F.xxhash64(c), empty) for k, c in (("source", "key"), ("lei", "usable_lei"), ("qid", "usable_qid"))}
     spelled = spellings(read.select("rec_id", "country", "city", "name", "name_norm", "aliases", *[c.alias(f"{k}_number") for k, c in keep.items()]), country_aliases, {f"{k}_number": F.col(f"{k}_number") for k in keep}, generic)
     facts = spelled.withColumnsRenamed({f"{k}_number": k for k in keep}).filter("first").select("rec_id", "form", "source", "lei", "qid")
-    links = cascade(spelled)
+    passes = cascade(spelled)
+    links = reduce(DataFrame.unionByName, passes)
     labels = materialize(identifiers_of_forms(facts), "labels")
     precision = rule_precision(links, labels)
     release(labels)
     confidence = F.element_at(F.create_map(*[F.lit(x) for pair in precision.items() for x in pair]), F.col("rule"))
     tree = roots(links.withColumn("confidence", confidence).filter(F.col("confidence") >= least))
+    for old in passes:
+        release(old)
     found = facts.filter("source IS NOT NULL").join(tree, "form", "left")
     rows = found.select("rec_id", "source", "lei", "qid", F.coalesce("root", "form").alias("root"), F.least(F.coalesce("confidence", F.lit(1.0)), F.lit(precision[0])).alias("confidence"))
     out = materialize(rows, "placed")
     release(spelled)
+    release(tree)
     return out
 
 

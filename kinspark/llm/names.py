@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from kinspark.functions.aliases import FILLERS, QUOTED
 from kinspark.llm.edits import deletions_of, slips
 from kinspark.llm.lookalike import LATIN_CYRILLIC, LATIN_GREEK
-from kinspark.session import materialize
+from kinspark.session import materialize, shuffles_removed
 
 #: Legal forms of companies in wide use and their short forms, without full stops.
 LEGAL = [
@@ -192,7 +192,8 @@ def generic_words(names: DataFrame, common: int = COMMON, beside: int = BESIDE)
     rows = names.count()
     counted = names.mapInArrow(_count_words, "word string, n long, beside long").groupBy("word").agg(F.sum("n").alias("n"), F.bit_or("beside").alias("beside"))
     kept = counted.filter((F.col("n") * common >= rows) & (F.bit_count("beside") >= beside) & (F.length("word") > 0))
-    return frozenset(r["word"] for r in kept.select("word").collect())
+    with shuffles_removed(names.sparkSession):
+        return frozenset(r["word"] for r in kept.select("word").collect())
 
 
 class Generic:
